@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, labels
+from tidemark.llm.common import documents, fold, labels, text_or_empty
 
 
 def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
@@ -22,9 +22,77 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mixing_plan
+
+    plan = mixing_plan(documents(spark, sf_dir))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality_rules import BASE, fit_rules, judge_quality
+
+    docs = documents(spark, sf_dir)
+    rules = fit_rules(docs, labels(spark, sf_dir))
+    return judge_quality(docs.select("doc_id", "text"), rules).select("doc_id", *BASE, "base_failed", "kept")
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.exact_dedup import duplicate_groups
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    docs = docs.withColumn("text_sha256", F.sha2(text_or_empty("text").cast("binary"), 256))
+    return duplicate_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing}
+    return {
+        "op1_packing": op1_packing,
+        "op8_mixing": op8_mixing,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
+
+
+OP8_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents
+), totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM totals
+), rests AS (
+  SELECT *,
+    sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0) AS rest,
+    sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS w_rest
+  FROM ranked
+  WINDOW before AS (ORDER BY source_size * 6 / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT rest, w_rest FROM rests WHERE 3 * source_size * w_rest > w * rest
+  ORDER BY source_size * 6 / w, source NULLS LAST LIMIT 1
+), targets AS (
+  SELECT r.source, r.source_size,
+    CASE WHEN l.rest IS NULL OR 3 * r.source_size * l.w_rest <= r.w * l.rest THEN CAST(3 * r.source_size AS DOUBLE)
+         ELSE CAST(CAST(r.w * l.rest AS BIGINT) AS DOUBLE) / CAST(CAST(l.w_rest AS BIGINT) AS DOUBLE) END AS target
+  FROM ranked r LEFT JOIN level l ON true
+), rated AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+    CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS draw
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM rated
+"""
+
+OP10_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": OP8_SQL, "op10_exact_dedup": OP10_SQL}
