@@ -22,6 +22,20 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = documents(spark, sf_dir)
+    return score_toxicity(docs, fit_toxicity(docs, labels(spark, sf_dir)))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language_id import fit_languages, identify_languages
+
+    docs = documents(spark, sf_dir)
+    return identify_languages(docs, fit_languages(docs))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mixing_plan
 
@@ -48,6 +62,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op4_toxicity": op4_toxicity,
+        "op6_language_id": op6_language_id,
         "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
         "op10_exact_dedup": op10_exact_dedup,
