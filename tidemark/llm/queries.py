@@ -22,6 +22,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality_fm import fit_quality, score_quality
+
+    docs = documents(spark, sf_dir)
+    return score_quality(docs, fit_quality(docs, labels(spark, sf_dir)))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -62,6 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op3_quality_fm": op3_quality_fm,
         "op4_toxicity": op4_toxicity,
         "op6_language_id": op6_language_id,
         "op8_mixing": op8_mixing,
