@@ -10,6 +10,8 @@ whose lengths are powers of two. No sequence is padded.
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
 from collections import deque
 from collections.abc import Iterator
@@ -28,10 +30,43 @@ CHUNK_CHARS = 1 << 20
 OUT_ROWS, OUT_BYTES = 4096, 8 << 20
 
 
+#: The normaliser and splitter for which a plain word's ids are those the model gives its lower-cased parts.
+PLAIN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A plain word: printable ASCII and composed Latin letters whose lower case is one letter.
+PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017e]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """For byte-level models: byte -> the character that stands for it, itself where it is printable."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class PartIds(dict):
+    """Lower-cased part of a plain word -> its ids, straight from the tokenizer's model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        written = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.letters)
+        packed = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[part] = packed
+        return packed
+
+
 class WordIds(dict):
     """UTF-8 word -> its ids as little-endian 32-bit integers.
 
     A tokenizer that never joins characters across white space gives a text the ids of its words in order.
+    Where the tokenizer has the normaliser and splitter above, the parts of plain words go to its model
+    directly, which is several times as fast; all other words go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -39,17 +74,30 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        told = json.loads(tokenizer_json)
+        steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        plain = (told.get("normalizer") or {}).get("normalizers") == PLAIN_NORMALIZER and (
+            steps[0].get("pattern") == {"Regex": PLAIN_SPLIT}
+            and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+            and not steps[1].get("add_prefix_space")
+            and not steps[1].get("use_regex", True)
+        )
+        self.added = [x["content"] for x in told.get("added_tokens") or []]
+        self.parts = PartIds(self.tokenizer.model) if plain else None
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        packed = array("I", ids).tobytes()
+        text = word.decode("utf-8")
+        if self.parts is not None and PLAIN.fullmatch(text) and not any(a in text for a in self.added):
+            packed = b"".join(map(self.parts.__getitem__, PARTS.findall(text.lower())))
+        else:
+            packed = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) >= CACHED_WORDS:
             self.clear()
         self[word] = packed
         return packed
 
     def of(self, text: str) -> bytes:
-        return b"".join(self[w] for part in chunks(text) for w in part.encode("utf-8").split())
+        return b"".join(b"".join(map(self.__getitem__, part.encode("utf-8").split())) for part in chunks(text))
 
 
 def chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:

@@ -36,6 +36,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, labels(spark, sf_dir)))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.license_scan import scan_licenses
+
+    found = scan_licenses(documents(spark, sf_dir))
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"], m["rule"]))
+    licenses = F.array_sort(F.array_distinct(F.col("matches.license")))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(licenses, ",").alias("licenses"), F.array_join(spans, ",").alias("spans"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.language_id import fit_languages, identify_languages
 
@@ -43,6 +52,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, fit_languages(docs))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secret_scan import KINDS, scan_secrets
+
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    found = scan_secrets(documents(spark, sf_dir))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("found").alias("spans"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mixing_plan
 
@@ -71,7 +89,9 @@ def queries() -> dict:
         "op1_packing": op1_packing,
         "op3_quality_fm": op3_quality_fm,
         "op4_toxicity": op4_toxicity,
+        "op5_license_scan": op5_license_scan,
         "op6_language_id": op6_language_id,
+        "op7_secret_scan": op7_secret_scan,
         "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
         "op10_exact_dedup": op10_exact_dedup,
