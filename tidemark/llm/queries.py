@@ -22,6 +22,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.near_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), words=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality_fm import fit_quality, score_quality
 
@@ -87,6 +93,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op2_near_dedup": op2_near_dedup,
         "op3_quality_fm": op3_quality_fm,
         "op4_toxicity": op4_toxicity,
         "op5_license_scan": op5_license_scan,
