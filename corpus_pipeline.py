@@ -1,10 +1,51 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return
+the columns of documents. run() applies them in order; a caller that writes each stage's result and reads it
+again as the next one's docs gets the same rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidemark.llm.common import labels
+from tidemark.llm.exact_dedup import drop_duplicates
+from tidemark.llm.mixing import mix_sources
+from tidemark.llm.near_dedup import drop_near_duplicates
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.queries import tokenizer_json
+from tidemark.llm.toxicity import drop_toxic, fit_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the toxicity model, fitted on the labelled ones among them, rejects."""
+    return drop_toxic(docs, fit_toxicity(docs, labels(spark, sf_dir)))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each text."""
+    return drop_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that links of five-word shingles at a similarity of 0.8 connect."""
+    return drop_near_duplicates(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that sources come near their target shares."""
+    return mix_sources(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their token ids, in sequences of at most 4096 tokens."""
+    return pack_documents(docs, tokenizer_json())
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+
+#: A model's scores, near-duplicate groups and token ids are not SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
