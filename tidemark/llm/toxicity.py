@@ -13,9 +13,9 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import cells, fold, small, spread, stable_order
 from tidemark.llm.trees import Trees, fit_trees
@@ -151,16 +151,17 @@ def fit_toxicity(
     return ToxicityModel(lexicon, fit_trees(data[:, 1:], y), prior)
 
 
-def toxicity_score(model: ToxicityModel, text_col: str) -> Column:
-    """The score of a text column, 0 to 1; null and empty texts get one too."""
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if model.trees is None or not len(texts):
-            return pd.Series(np.full(len(texts), model.prior))
-        return pd.Series(model.trees.probability(np.array([features(t, model.lexicon) for t in texts])))
-
-    return score(F.col(text_col))
+def _scores(model: ToxicityModel, batch, text_col: str) -> np.ndarray:
+    """The scores of an Arrow batch, some rows at a time, so that few texts are Python strings at once."""
+    out, held = [], []
+    for (text,) in cells([batch], text_col):
+        held.append(features(text, model.lexicon) if model.trees else ())
+        if len(held) == 1024:
+            out.append(model.trees.probability(np.array(held)) if model.trees else np.full(len(held), model.prior))
+            held = []
+    if held:
+        out.append(model.trees.probability(np.array(held)) if model.trees else np.full(len(held), model.prior))
+    return np.concatenate(out) if out else np.empty(0)
 
 
 def score_toxicity(
@@ -172,6 +173,25 @@ def score_toxicity(
     score alike, null and empty texts as texts without words, a null id is in the fold of the empty text. Other
     columns are ignored. An empty table gives an empty one.
     """
-    rows = spread(docs.select(id_col, text_col))
-    out = rows.select(id_col, (fold(id_col, folds) == held).alias("held_out"), toxicity_score(model, text_col).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = spread(docs.select(id_col, text_col)).select(id_col, (fold(id_col, folds) == held).alias("held_out"), text_col)
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("held_out"), pa.array(_scores(model, batch, text_col), pa.float64())], [f.name for f in schema])
+
+    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns. Edge cases as in score_toxicity()."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, batch, text_col) < threshold))
+
+    return spread(docs).mapInArrow(run, docs.schema)
