@@ -1,7 +1,7 @@
 """Language identification by averaged hashed subword embeddings with a linear softmax.
 
-A word is its own subwords of one to four letters, with marks at both ends, each hashed to a row of an embedding
-table. A text is the mean of its subwords' rows, and a linear layer with softmax gives the languages. Table and
+A text's subwords are the runs of one to four characters within its words, a mark at either end of a word being
+one of them; each is hashed to a row of an embedding table. A text is the mean of its subwords' rows, and a linear layer with softmax gives the languages. Table and
 layer are trained together by stochastic gradient descent in numpy. The score is calibrated by a temperature, and
 texts that score below a threshold, fitted so that few training texts fall under it, are marked rejected.
 """
@@ -12,25 +12,35 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cells, fold, small, spread, stable_order
+from tidemark.llm.common import cells, fold, spread, stable_order
+from tidemark.llm.packing import chunks
 
 #: Labelled texts to learn from, at most. Training reads this many words of each; predictions read all.
-SAMPLE_ROWS, TRAIN_WORDS = 8_000, 120
+SAMPLE_ROWS, TRAIN_WORDS = 6_000, 120
 BUCKETS, DIMENSIONS = 1 << 15, 16
-#: Distinct words whose sums a task remembers.
-CACHED_WORDS = 100_000
 
-LETTERS = re.compile(r"[^\W\d_]+")
+NO_LETTERS = re.compile(r"[\W\d_]+")
+U = np.uint64
 
 
-def subwords(word: str) -> list[int]:
-    marked = f"<{word}>"
-    return [xxhash.xxh32_intdigest(marked[i : i + n]) % BUCKETS for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
+def subwords(text: str) -> np.ndarray:
+    """The buckets of a text's subwords, hashed for all places at once; none if it has no letter."""
+    spaced = f" {NO_LETTERS.sub(' ', text.lower()).strip()} "
+    if len(spaced) < 3:
+        return np.empty(0, np.int64)
+    c = np.frombuffer(spaced.encode("utf-32-le"), np.uint32).astype(U)
+    inside = c != 32
+    out, h, valid = [c[inside]], c, np.ones(len(c), bool)
+    for n in (2, 3, 4):  # a run may have a mark at its ends only
+        h = h[:-1] * U(0x9E3779B97F4A7C15) + c[n - 1 :]
+        valid = valid[:-1] & inside[n - 2 : len(c) - 1] if n > 2 else valid[:-1]
+        out.append(h[valid] + U(n))
+    x = np.concatenate(out) * U(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> U(29))) * U(0x94D049BB133111EB) >> U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
 @dataclass
@@ -46,41 +56,22 @@ class LanguageModel:
         return (sums / np.maximum(counts, 1)[:, None]) @ self.layer + self.bias
 
 
-class WordSums(dict):
-    """Word -> (place in the arrays below); sums of its subwords' rows, and their number."""
+def summed(text: str | None, model: LanguageModel) -> tuple[np.ndarray, int]:
+    """The sum of the rows of a whole text's subwords, and their number."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for part in chunks(text or ""):
+        counts += np.bincount(subwords(part), minlength=BUCKETS)
+    return counts @ model.table, int(counts.sum())
 
-    def __init__(self, model: LanguageModel):
-        super().__init__()
-        self.model = model
-        self.sums = np.zeros((CACHED_WORDS, model.table.shape[1]), np.float32)
-        self.counts = np.zeros(CACHED_WORDS, np.int64)
 
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        rows = subwords(word)
-        self.sums[at], self.counts[at] = self.model.table[rows].sum(0), len(rows)
-        self[word] = at
-        return at
-
-    def of(self, words: list[str]) -> tuple[np.ndarray, int]:
-        total, n = np.zeros(self.sums.shape[1]), 0
-        for k in range(0, len(words), CACHED_WORDS // 4):
-            part = words[k : k + CACHED_WORDS // 4]
-            if len(self) + len(part) > CACHED_WORDS:
-                self.clear()
-            at = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
-            total += self.sums[at].sum(0, dtype=np.float64)
-            n += int(self.counts[at].sum())
-        return total, n
-
-
-def train(texts: list[str], targets: np.ndarray, languages: list[str], *, epochs: int = 6, rate: float = 4.0, batch: int = 32, seed: int = 3) -> LanguageModel:
+def train(texts: list[str], targets: np.ndarray, languages: list[str], *, epochs: int = 4, rate: float = 4.0, batch: int = 32, seed: int = 3) -> LanguageModel:
     rng = np.random.default_rng(seed)
     model = LanguageModel(languages, rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.1, (DIMENSIONS, len(languages))), np.zeros(len(languages)))
-    bags = [np.array([s for w in LETTERS.findall(t.lower())[:TRAIN_WORDS] for s in subwords(w)], np.int64) for t in texts]
+    bags = [subwords(t) for t in texts]
     known = np.array([k for k, b in enumerate(bags) if len(b)], np.int64)
     held = known[rng.random(len(known)) < 0.2]
     taught = np.setdiff1d(known, held) if len(held) < len(known) else known
+    epochs = max(epochs, min(60, 40_000 // max(len(taught), 1)))  # few texts are seen more often
     steps, done = max(epochs * len(taught), 1), 0
     for _ in range(epochs):
         order = rng.permutation(taught)
@@ -156,12 +147,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, *, folds: i
     def run(batches):
         import pyarrow as pa
 
-        words = WordSums(model) if model else None
         for batch in batches:
             sums, counts = [], []
             for (text,) in cells([batch], text_col):
-                found = LETTERS.findall(text.lower()) if text and words is not None else []
-                total, n = words.of(found) if found else (0.0, 0)
+                total, n = summed(text, model) if model else (0.0, 0)
                 sums.append(np.broadcast_to(total, DIMENSIONS)), counts.append(n)
             counts = np.array(counts, np.int64)
             known = counts > 0
