@@ -134,11 +134,11 @@ def tokens(text: str) -> Column:
 
 
 def bigrams(texts: DataFrame, *, id_col: str, text: str) -> DataFrame:
-    """(id_col, i, prev, w): each word with the one before it, <s> before the first."""
+    """(id_col, place, prev, w): each word with the one before it, <s> before the first."""
     rows = texts.select(id_col, tokens(text).alias("t"))
     pairs = F.arrays_zip(F.concat(F.array(F.lit("<s>")), F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0)))).alias("prev"), F.col("t").alias("w"))
-    out = rows.where(F.size("t") > 0).select(id_col, F.posexplode(pairs).alias("i", "b"))
-    return out.select(id_col, "i", F.col("b.prev").alias("prev"), F.col("b.w").alias("w"))
+    out = rows.where(F.size("t") > 0).select(id_col, F.posexplode(pairs).alias("place", "b"))
+    return out.select(id_col, "place", F.col("b.prev").alias("prev"), F.col("b.w").alias("w"))
 
 
 def perplexity(train: DataFrame, test: DataFrame, *, id_col: str, text: str) -> DataFrame:
