@@ -89,3 +89,51 @@ def evidence_records(candidates: DataFrame, *, keys: list[str], id_col: str, tex
 def retrieval_query(summary: DataFrame, *, substance: str, risk: str) -> DataFrame:
     """Adds query, the text that a spike's evidence is looked up by."""
     return summary.withColumn("query", F.format_string("%s use with %s risk: relapse, withdrawal, overdose", F.coalesce(substance, F.lit("substance")), F.coalesce(risk, F.lit("moderate"))))
+
+
+def month_context(official: DataFrame, windows: DataFrame, *, time: str = "start") -> DataFrame:
+    """windows with top_substance and top_deaths: the official count that is largest in the window's month."""
+    month = official.groupBy(F.trunc("period", "month").alias("__m")).agg(F.max_by("substance", F.struct("deaths", "substance")).alias("top_substance"), F.max("deaths").alias("top_deaths"))
+    return windows.withColumn("__m", F.trunc(time, "month")).join(month, "__m", "left").drop("__m")
+
+
+def spike_summaries(posts: DataFrame, *, keys: list[str], substance: str, risk: str) -> DataFrame:
+    """(keys, n_posts, substance, pct_high, inferred_risk): what a spike's posts have in common. The risk is the most
+    common one; where no post has a risk it follows from the share of high ones, and is moderate without posts."""
+    out = posts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_posts"), F.avg((F.col(risk) == "high").cast("double")).alias("pct_high"))
+    out = out.join(most_common(posts, keys, substance).drop("n"), keys, "left").join(most_common(posts, keys, risk).drop("n").withColumnRenamed(risk, "__r"), keys, "left")
+    by_share = F.when(F.col("pct_high") >= 0.10, "high").when(F.col("pct_high") >= 0.04, "medium").when(F.col("pct_high").isNotNull(), "low").otherwise("moderate")
+    return out.withColumn("inferred_risk", F.coalesce("__r", by_share)).drop("__r")
+
+
+def spike_prompts(ranked: DataFrame, *, keys: list[str], text: str, posts: int = 15, length: int = 200) -> DataFrame:
+    """(keys, prompt): the first posts of each spike, cut to a length, for a summarising model. Both limits are its budget."""
+    top = ranked.where(F.col("rank") <= posts)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.substring(text, 1, length).alias("t")))), lambda x: F.concat(F.lit("- "), x["t"]))
+    return top.groupBy(*keys).agg(F.concat(F.lit("Summarise the common theme of these posts:\n"), F.array_join(lines, "\n")).alias("prompt"))
+
+
+def flat_correlations(correlations: DataFrame, *, alpha: float = 0.05) -> DataFrame:
+    return correlations.withColumn("significant", F.coalesce(F.col("p") < alpha, F.lit(False)))
+
+
+def best_significant_lag(correlations: DataFrame, *, key: str = "substance", alpha: float = 0.05) -> DataFrame:
+    """(key, shift_lag, r): each key's significant lag with the largest r."""
+    best = correlations.where(F.col("p") < alpha).groupBy(key).agg(F.max(F.struct("r", "shift_lag")).alias("b"))
+    return best.select(key, "b.shift_lag", "b.r")
+
+
+def earliest_median_lag(summary: DataFrame, *, key: str = "substance") -> DataFrame:
+    """The key whose median lag is the most negative, if any is."""
+    return summary.where("median_lag < 0").orderBy("median_lag", key).limit(1).select(key, "median_lag")
+
+
+def describe(df: DataFrame, column: str) -> DataFrame:
+    """count, mean, stddev, min, quartiles and max of a column, as one row."""
+    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(column).alias("max"))
+
+
+def first_existing(df: DataFrame, names: list[str]) -> str:
+    """The first of the names that is a column, for texts that come under several names."""
+    return next(n for n in names if n in df.columns)

@@ -122,3 +122,24 @@ def rerank(candidates: DataFrame, scorer=None, *, keys: list[str], id_col: str,
     score = scorer(candidates) if scorer else F.col("similarity")
     w = Window.partitionBy(*keys).orderBy(F.desc("rerank_score"), id_col)
     return candidates.withColumn("rerank_score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def best_label_score(posts: DataFrame, seeds: DataFrame, *, id_col: str, vector: str, k: int = 5, **names) -> DataFrame:
+    """(id_col, label, score): over the labels, the largest mean of a post's k nearest seeds of that label."""
+    hits = neighbours(posts, seeds, id_col=id_col, vector=vector, k=k, per_label=True, **names)
+    means = hits.groupBy(id_col, "label").agg(F.round(F.avg("similarity"), 9).alias("score"))
+    best = means.groupBy(id_col).agg(F.max(F.struct("score", "label")).alias("b"))
+    return best.select(id_col, "b.label", "b.score")
+
+
+def neighbours_in_groups(posts: DataFrame, queries: DataFrame, *, keys: list[str], id_col: str, vector: str, query_vector: str = "query_vector", k: int = 30) -> DataFrame:
+    """posts (with keys) that are among the k nearest to their group's query vector, with similarity and rank.
+
+    A group's posts are ranked in a window that keeps k of them, and Spark cuts to k on the map side first.
+    """
+    from tidemark.functions.vectors import cosine
+
+    joined = posts.join(queries.select(*keys, query_vector), keys)
+    scored = joined.withColumn("similarity", F.round(cosine(vector, query_vector), 9)).drop(query_vector).where("similarity IS NOT NULL")
+    w = Window.partitionBy(*keys).orderBy(F.desc("similarity"), id_col)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -958,3 +958,57 @@ def stream_weekly(spark, d):
     from tidemark.streaming.binning import bin_stream
 
     return bin_stream(posts(spark, d), time="ts", keys=["substance"])
+
+
+@query("describe_scores", f"""WITH {RULES} SELECT count(combined_score) AS n, round(avg(combined_score), 6) AS mean, round(stddev_samp(combined_score), 6) AS std, min(combined_score) AS min,
+  round(quantile_cont(combined_score, 0.25), 6) AS q25, round(quantile_cont(combined_score, 0.5), 6) AS q50, round(quantile_cont(combined_score, 0.75), 6) AS q75, max(combined_score) AS max FROM rule""")
+def describe_scores(spark, d):
+    out = decide.describe(rule_scores(spark, d), "combined_score")
+    return out.select("n", *[r6(c).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
+@query("month_context", f"""WITH {OFFICIAL}, m AS (SELECT period, max_by(substance, (deaths, substance)) AS top_substance, max(deaths) AS top_deaths FROM official GROUP BY 1
+), w AS (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS start FROM lineitem) SELECT start, top_substance, top_deaths FROM w LEFT JOIN m ON period = start""")
+def month_context(spark, d):
+    windows = table(spark, d, "lineitem").select(F.date_trunc("month", "l_shipdate").cast("date").alias("start")).distinct()
+    return decide.month_context(official(spark, d), windows)
+
+
+@query("best_label_score", f"""WITH {VECTORS}, {SEEDS}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY similarity DESC, seed_id) AS rank FROM sims
+), m AS (SELECT vec_id, label, round(avg(similarity), 9) AS score FROM k WHERE rank <= 5 GROUP BY 1, 2) SELECT vec_id, round(max(score), 6) AS score FROM m GROUP BY 1""")
+def best_label_score(spark, d):
+    out = knn.best_label_score(vectors(spark, d), seeds(spark, d), id_col="vec_id", vector="embedding")
+    return out.select("vec_id", r6("score").alias("score"))
+
+
+@query("cluster_ndcg", f"""WITH {VECTORS}, sc AS (SELECT label, round({DOT.format(a="e", b=f"CAST({QUERY} AS DOUBLE[])")}, 1) AS s, list_position(['low', 'medium', 'high'], risk) - 1 AS rel FROM sized
+), c AS (SELECT label, round(avg(s), 6) AS s, round(avg(rel), 6) AS rel FROM sc GROUP BY 1
+), a AS (SELECT avg(rel) OVER (PARTITION BY s) AS g, row_number() OVER (ORDER BY s DESC) AS r FROM c), i AS (SELECT rel AS g, row_number() OVER (ORDER BY rel DESC) AS r FROM c)
+SELECT 50 AS k, round((SELECT sum(g / log2(r + 1)) FROM a) / (SELECT sum(g / log2(r + 1)) FROM i), 6) AS ndcg""")
+def cluster_ndcg(spark, d):
+    gain = F.when(F.col("risk") == "high", 2).when(F.col("risk") == "medium", 1).otherwise(0)
+    rows = vectors(spark, d).select("label", F.round(V.dot("embedding", F.array(*map(F.lit, QUERY))), 1).alias("s"), gain.alias("rel"))
+    means = rows.groupBy("label").agg(r6(F.avg("s")).alias("s"), r6(F.avg("rel")).alias("rel"))
+    return metrics.ndcg(means, score="s", relevance="rel", ks=(50,)).withColumn("ndcg", r6("ndcg"))
+
+
+@query("earliest_median_lag", LAGS + ", s AS (SELECT substance, quantile_cont(lag_days, 0.5) AS median_lag FROM lags GROUP BY 1) SELECT substance, median_lag FROM s WHERE median_lag < 0 ORDER BY 2, 1 LIMIT 1")
+def earliest_median_lag(spark, d):
+    return decide.earliest_median_lag(series.lag_summary(series.detection_lag(official_spikes(spark, d), alerts(spark, d))))
+
+
+@query("flat_correlations")
+def flat_correlations(spark, d):
+    out = decide.flat_correlations(correlations(spark, d))
+    return out.join(decide.best_significant_lag(out).withColumnRenamed("shift_lag", "best_lag").drop("r"), "substance", "left")
+
+
+@query("spike_evidence")
+def spike_evidence(spark, d):
+    """Evidence for the weeks of most drift; tests hold the ranks against brute force."""
+    from tidemark.plans.evidence import spike_evidence as run
+
+    rows = vectors(spark, d).withColumns({"text": F.concat(F.lit("post "), F.col("vec_id").cast("string")), "substance": F.concat(F.lit("s"), F.col("label").cast("string"))})
+    windows = narrative.spike_periods(drift_windows(spark, d), most=4)
+    queries = windows.select("start", F.array(*map(F.lit, QUERY)).alias("query_vector"))
+    return run(rows, windows, queries, time="t", id_col="vec_id", vector="embedding", text="text", substance="substance", risk="risk")["evidence"]
