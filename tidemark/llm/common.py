@@ -38,8 +38,14 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Bytes of an Arrow batch that goes to Python: two workers an executor hold a few of these each.
+ARROW_BYTES = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deals a table of fewer partitions than cores over all cores; larger tables stay as they are."""
+    """Gets a table ready for Python: bounds its batches by bytes, and deals one of fewer partitions than cores
+    over all cores; larger tables stay as they are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -64,3 +70,24 @@ def cells(batches, *columns: str) -> Iterator[tuple]:
         picked = [batch.column(c) for c in columns]
         for i in range(batch.num_rows):
             yield tuple(c[i].as_py() for c in picked)
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with workers that give freed memory back to the system when a task ends: idle ones
+    stay alive, and an executor's memory holds them and its JVM."""
+
+    def trimmed(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return df.mapInArrow(trimmed, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, mapped
 
 #: Edges that one task may take into its union-find; with more, tasks contract their parts and stars do the rest.
 ONE_TASK_EDGES = 200_000
@@ -48,7 +48,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
             part = nodes[k : k + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, kinds.field("a").type), pa.array([uf.find(x) for x in part], kinds.field("b").type)], ["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(run, edges.select("a", "b").schema)
+    return mapped(edges.select("a", "b"), run, edges.select("a", "b").schema)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

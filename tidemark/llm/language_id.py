@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cells, fold, spread, stable_order
+from tidemark.llm.common import cells, fold, mapped, spread, stable_order
 from tidemark.llm.packing import chunks
 
 #: Labelled texts to learn from, at most. Training reads this many words of each; predictions read all.
-SAMPLE_ROWS, TRAIN_WORDS = 6_000, 120
+SAMPLE_ROWS, TRAIN_WORDS = 6_000, 80
 BUCKETS, DIMENSIONS = 1 << 15, 16
 
 NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -67,33 +67,36 @@ def summed(text: str | None, model: LanguageModel) -> tuple[np.ndarray, int]:
 def train(texts: list[str], targets: np.ndarray, languages: list[str], *, epochs: int = 4, rate: float = 4.0, batch: int = 32, seed: int = 3) -> LanguageModel:
     rng = np.random.default_rng(seed)
     model = LanguageModel(languages, rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.1, (DIMENSIONS, len(languages))), np.zeros(len(languages)))
-    bags = [subwords(t) for t in texts]
-    known = np.array([k for k, b in enumerate(bags) if len(b)], np.int64)
+    bags = []  # distinct subwords of a text, and their shares of its mean
+    for t in texts:
+        index, count = np.unique(subwords(t), return_counts=True)
+        bags.append((index, count / max(count.sum(), 1)))
+    known = np.array([k for k, (b, _) in enumerate(bags) if len(b)], np.int64)
     held = known[rng.random(len(known)) < 0.2]
     taught = np.setdiff1d(known, held) if len(held) < len(known) else known
-    epochs = max(epochs, min(60, 40_000 // max(len(taught), 1)))  # few texts are seen more often
+    epochs = max(epochs, min(60, 24_000 // max(len(taught), 1)))  # few texts are seen more often
     steps, done = max(epochs * len(taught), 1), 0
     for _ in range(epochs):
         order = rng.permutation(taught)
         for k in range(0, len(order), batch):
             rows = order[k : k + batch]
-            flat = np.concatenate([bags[r] for r in rows])
-            sizes = np.array([len(bags[r]) for r in rows])
+            flat, share = (np.concatenate([bags[r][c] for r in rows]) for c in (0, 1))
+            sizes = np.array([len(bags[r][0]) for r in rows])
             starts = np.concatenate([[0], sizes.cumsum()[:-1]])
-            mean = np.add.reduceat(model.table[flat], starts) / sizes[:, None]
+            mean = np.add.reduceat(model.table[flat] * share[:, None], starts)
             p = softmax(mean @ model.layer + model.bias)
             p[np.arange(len(rows)), targets[rows]] -= 1
             step = rate * (1 - done / steps) / len(rows)
-            back = (p @ model.layer.T) / sizes[:, None]
+            back = p @ model.layer.T
             model.layer -= step * mean.T @ p
             model.bias -= step * p.sum(0)
             index, place = np.unique(flat, return_inverse=True)
             owner = np.repeat(np.arange(len(rows)), sizes)
-            total = np.stack([np.bincount(place, back[owner, d], len(index)) for d in range(DIMENSIONS)], 1)
+            total = np.stack([np.bincount(place, back[owner, d] * share, len(index)) for d in range(DIMENSIONS)], 1)
             model.table[index] -= step * total
             done += len(rows)
     if len(held):
-        z = np.stack([model.table[bags[r]].mean(0) @ model.layer + model.bias for r in held])
+        z = np.stack([bags[r][1] @ model.table[bags[r][0]] @ model.layer + model.bias for r in held])
         grid = np.geomspace(0.2, 5, 41)
         loss = [-np.log(softmax(z / t)[np.arange(len(held)), targets[held]] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
@@ -161,4 +164,4 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, *, folds: i
             rejected = ~known | (score < (model.least if model else 1))
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("held_out"), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(rejected)], [f.name for f in schema])
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)

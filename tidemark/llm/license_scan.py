@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cells, spread
+from tidemark.llm.common import cells, mapped, spread
 
 #: Sentences of public licences, and their identifiers.
 SENTENCES = {
@@ -203,4 +203,4 @@ def scan_licenses(docs: DataFrame, *, sentences: dict | None = None, rules: tupl
             got = [[dict(zip(("start", "end", "license", "rule"), m, strict=True)) for m in recogniser.scan(text)] for (text,) in cells([batch], text_col)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(got, kind)], [f.name for f in schema])
 
-    return spread(docs.select(id_col, text_col)).mapInArrow(run, schema)
+    return mapped(spread(docs.select(id_col, text_col)), run, schema)

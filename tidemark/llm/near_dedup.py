@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cells, checkpointed, small, spread
+from tidemark.llm.common import cells, checkpointed, mapped, small, spread
 from tidemark.llm.components import connected_components
 
 #: With 48 bands of 6, a pair at a similarity of 0.8 shares none with a probability of (1 - 0.8**6)**48 < 1e-6, and
 #: one at 0.1 shares any with one below 5e-5.
 BANDS, ROWS = 48, 6
 #: Members of a hub that one task compares, and queries of a block.
-MEMBERS, QUERIES = 4096, 256
+MEMBERS, QUERIES = 512, 256
 #: Elements that are sketched at once.
 BATCH_ELEMENTS = 1 << 16
 
@@ -145,7 +145,7 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
         if held:
             yield flushed(held)
 
-    return spread(docs.select(id_col, text_col)).mapInArrow(run, schema)
+    return mapped(spread(docs.select(id_col, text_col)), run, schema)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -159,7 +159,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_col).join(small(ids, ids.count()), "id", "left_semi")
-    return rows.mapInArrow(run, "fp binary, shingles binary").dropDuplicates(["fp"])
+    return mapped(rows, run, "fp binary, shingles binary").dropDuplicates(["fp"])
 
 
 def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,6 +169,8 @@ def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: i
     sorted, queries first, so that a task holds the queries of one block and one member at a time.
     """
     counts = members.groupBy("block", "chunk").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
+    counts = checkpointed(counts)
+    counts = small(counts, counts.count())
     asked = queries.join(counts, ["block", "chunk"]).select("block", "chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "fp")
     dealt = members.join(counts, ["block", "chunk"]).select("block", "chunk", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "fp")
     rows = asked.unionByName(dealt).join(sets, "fp").repartition("block", "chunk", "salt").sortWithinPartitions("block", "chunk", "salt", "role")
@@ -205,7 +207,7 @@ def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: i
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return mapped(rows, run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,7 +256,8 @@ def _unmet(pairs: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
     most = sizes.groupBy("hub").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
     most = most.where(F.col("all") > F.col("most.n"))
     chunks = most.select("hub", F.col("most.root").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / QUERIES).cast("int").alias("chunks"))
-    both = checkpointed(placed.join(chunks, "hub"))
+    chunks = checkpointed(chunks)
+    both = checkpointed(placed.join(small(chunks, chunks.count()), "hub"))
     queries = both.where("root <> main").select(F.col("hub").alias("block"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), "fp")
     members = both.select(F.col("hub").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "fp")
     return queries, members

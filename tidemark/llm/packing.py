@@ -10,6 +10,7 @@ whose lengths are powers of two. No sequence is padded.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from array import array
@@ -20,10 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cells, spread
+from tidemark.llm.common import cells, mapped, spread
 
-#: Distinct words whose ids a task remembers.
-CACHED_WORDS = 200_000
+#: Distinct words or parts of words whose ids a Python worker remembers: two generations of this many.
+CACHED_WORDS = 80_000
 #: Characters that are tokenised at once; longer texts are taken piece by piece, cut at white space.
 CHUNK_CHARS = 1 << 20
 #: Rows and bytes of a batch that leaves a task.
@@ -33,9 +34,10 @@ OUT_ROWS, OUT_BYTES = 4096, 8 << 20
 #: The normaliser and splitter for which a plain word's ids are those the model gives its lower-cased parts.
 PLAIN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A plain word: printable ASCII and composed Latin letters whose lower case is one letter.
-PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+")
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017e]+")
+#: A plain text: printable ASCII, its white space, and composed Latin letters whose lower case is one letter.
+PLAIN = re.compile(r"[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]*")
+#: Its parts, in lower case: contractions, runs of letters, single digits, runs of other marks.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u017e]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -45,28 +47,42 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class PartIds(dict):
-    """Lower-cased part of a plain word -> its ids, straight from the tokenizer's model."""
+class Remembered(dict):
+    """A bounded memo. Full, it becomes the old generation, from which entries that are still used come back."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.made(key)
+        if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class PartIds(Remembered):
+    """Lower-cased part of a plain text -> its ids, straight from the tokenizer's model."""
 
     def __init__(self, model):
         super().__init__()
         self.model, self.letters = model, byte_letters()
 
-    def __missing__(self, part: str) -> bytes:
+    def made(self, part: str) -> bytes:
         written = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.letters)
-        packed = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[part] = packed
-        return packed
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
 
-class WordIds(dict):
-    """UTF-8 word -> its ids as little-endian 32-bit integers.
+class WordIds(Remembered):
+    """UTF-8 word -> its ids as little-endian 32-bit integers; of() gives those of a text.
 
     A tokenizer that never joins characters across white space gives a text the ids of its words in order.
-    Where the tokenizer has the normaliser and splitter above, the parts of plain words go to its model
-    directly, which is several times as fast; all other words go through the whole tokenizer.
+    Where the tokenizer has the normaliser and splitter above, the parts of plain texts go to its model directly,
+    which is several times as fast; words of all other texts go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -82,22 +98,34 @@ class WordIds(dict):
             and not steps[1].get("add_prefix_space")
             and not steps[1].get("use_regex", True)
         )
-        self.added = [x["content"] for x in told.get("added_tokens") or []]
+        added = [re.escape(x["content"]) for x in told.get("added_tokens") or []]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.parts = PartIds(self.tokenizer.model) if plain else None
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8")
-        if self.parts is not None and PLAIN.fullmatch(text) and not any(a in text for a in self.added):
-            packed = b"".join(map(self.parts.__getitem__, PARTS.findall(text.lower())))
-        else:
-            packed = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = packed
-        return packed
+    def made(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
 
     def of(self, text: str) -> bytes:
-        return b"".join(b"".join(map(self.__getitem__, part.encode("utf-8").split())) for part in chunks(text))
+        return b"".join(map(self._of, chunks(text)))
+
+    def _of(self, text: str) -> bytes:
+        if self.parts is None:
+            return b"".join(map(self.__getitem__, text.encode("utf-8").split()))
+        if PLAIN.fullmatch(text) and not self.added.search(text):
+            return b"".join(map(self.parts.__getitem__, PARTS.findall(text.lower())))
+        return b"".join(self._plain(w) for w in text.encode("utf-8").split())
+
+    def _plain(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        if PLAIN.fullmatch(text) and not self.added.search(text):
+            return b"".join(map(self.parts.__getitem__, PARTS.findall(text.lower())))
+        return self[word]
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(tokenizer_json: str) -> WordIds:
+    """One memo a Python worker, which its later tasks find filled."""
+    return WordIds(tokenizer_json)
 
 
 def chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
@@ -237,7 +265,7 @@ def pack_documents(
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, packer = WordIds(shared.value), SlackPacker(capacity, pool_tokens)
+        words, packer = word_ids(shared.value), SlackPacker(capacity, pool_tokens)
         end, held, rows = array("I", [end_id]).tobytes(), {}, []
         number, size = TaskContext.get().partitionId() << 40, 0
         kinds = None
@@ -283,4 +311,4 @@ def pack_documents(
         if rows:
             yield flushed()
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cells, fold, small, spread, stable_order
+from tidemark.llm.common import cells, fold, mapped, small, spread, stable_order
 
 #: Labelled rows to learn from, at most.
 SAMPLE_ROWS = 12_000
@@ -152,7 +152,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["id", "label", "index", "value"])
 
     sample = rows.select(F.col("__fm_text").alias("text"), F.col("__fm_id").cast("string").alias("id"), F.col("__fm_label").alias("label"))
-    got = sorted(sample.mapInArrow(run, "id string, label long, index binary, value binary").collect(), key=tuple)
+    got = sorted(mapped(sample, run, "id string, label long, index binary, value binary").collect(), key=tuple)
     if not got:
         return FactorisationMachine(0.0, np.zeros(FEATURES), np.zeros((FEATURES, RANK)))
     encoded = [(np.frombuffer(r["index"], "<u4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in got]
@@ -177,4 +177,4 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, *, folds: int =
             scores = [model.score(text, buckets) for (text,) in cells([batch], text_col)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("held_out"), pa.array(scores, pa.float64())], [f.name for f in schema])
 
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return mapped(rows, run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -17,7 +17,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cells, spread
+from tidemark.llm.common import cells, mapped, spread
 
 #: Fixed patterns of the base kinds, in their order, and the least length of what must be long enough.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -139,4 +139,4 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             got = [scan(text) for (text,) in cells([batch], text_col)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array([named(g[c]) for g in got], kind) for c in (0, 1))], [f.name for f in schema])
 
-    return spread(docs.select(id_col, text_col)).mapInArrow(run, schema)
+    return mapped(spread(docs.select(id_col, text_col)), run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cells, fold, small, spread, stable_order
+from tidemark.llm.common import cells, fold, mapped, small, spread, stable_order
 from tidemark.llm.trees import Trees, fit_trees
 
 #: Labelled rows to learn from, at most, and learned lexicon words, at most.
@@ -141,7 +141,7 @@ def fit_toxicity(
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([str(r[0]) for r in rows]), *[pa.array([float(r[k]) for r in rows]) for k in range(1, len(NAMES) + 2)]], ["id", "label", *NAMES])
 
-    table = sample.where(~teaches).mapInArrow(run, "id string, " + ", ".join(f"{c} double" for c in ("label", *NAMES))).collect()
+    table = mapped(sample.where(~teaches), run, "id string, " + ", ".join(f"{c} double" for c in ("label", *NAMES))).collect()
     table.sort()
     data = np.array([r[1:] for r in table], float).reshape(-1, len(NAMES) + 1)
     y = data[:, 0] > 0
@@ -182,7 +182,7 @@ def score_toxicity(
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("held_out"), pa.array(_scores(model, batch, text_col), pa.float64())], [f.name for f in schema])
 
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return mapped(rows, run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -194,4 +194,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.5,
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch, text_col) < threshold))
 
-    return spread(docs).mapInArrow(run, docs.schema)
+    return mapped(spread(docs), run, docs.schema)
