@@ -29,10 +29,15 @@ def mixed(rows, cycle=3, cap=3, seed="mix"):
             target[s] = cap * total[s]
             left -= target[s]
         open_ -= over
+    u = lambda r, k: int(hashlib.md5(f"{seed}:{k}:{r[0]}".encode()).hexdigest()[:13], 16) / 16**13
+    rate = {s: target[s] / total[s] if total[s] else 0 for s in total}
+    off = defaultdict(lambda: [0] * 16)
     for r in rows:
-        rate = target[r[3]] / total[r[3]] if total[r[3]] else 0
-        u = int(hashlib.md5(f"{seed}:{r[0]}".encode()).hexdigest()[:13], 16) / 16**13
-        yield r, int(rate) + (u < rate - int(rate))
+        for k in range(16):
+            off[r[3]][k] += size[r] * (int(rate[r[3]]) + (u(r, k) < rate[r[3]] - int(rate[r[3]])))
+    best = {s: min(range(16), key=lambda k: (abs(off[s][k] - target[s]), k)) for s in total}
+    for r in rows:
+        yield r, int(rate[r[3]]) + (u(r, best[r[3]]) < rate[r[3]] - int(rate[r[3]]))
 
 
 def test_run_matches_brute_force(spark):

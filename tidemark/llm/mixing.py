@@ -3,7 +3,9 @@
 One aggregate gives each source's words. Targets come from its closed form: a source gets its cap where the
 cap is below its share of what is left, taken in order of cap over weight; all others share the rest by weight.
 The rate is the target over the source's words. A document is emitted floor(rate) times, and once more if a
-number drawn from its id's hash lies below the fraction of the rate.
+number drawn from the hash of a seed and its id lies below the fraction of the rate. Independent draws leave a
+source of few or very uneven documents some percent off its target, so a second aggregate sums the words that each
+of a few seeds would take, and every source keeps the seed that comes nearest. No rows are sorted or shuffled for it.
 """
 
 from __future__ import annotations
@@ -15,15 +17,18 @@ from tidemark.llm.common import WORD, checkpointed, small, text_or_empty
 
 SIZE, KEY = "__mix_size", "__mix_source"
 
+#: Seeds that each source chooses from.
+TRIES = 16
+
 
 def words_in(text_col: str) -> Column:
     """Words of a text as a long; 0 for a null text."""
     return F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
 
 
-def draw(id_col: str, seed: str) -> Column:
-    """A number in [0, 1) from the md5 of seed and id: the same in every run and on every engine."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+def draw(id_col: str, seed: str, number: Column) -> Column:
+    """A number in [0, 1) from the md5 of seed, number and id: the same in every run and on every engine."""
+    text = F.concat(F.lit(f"{seed}:"), number.cast("string"), F.lit(":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
@@ -68,6 +73,7 @@ def mixing_plan(
     cycle: int = 3,
     cap: int = 3,
     seed: str = "mix",
+    tries: int = TRIES,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -82,12 +88,18 @@ def mixing_plan(
     """
     docs = docs.drop(*[c for c in ("size", "source_size", "target", "copies") if c in docs.columns])
     sized = docs.withColumns({SIZE: words_in(text_col), KEY: F.col(source_col)})
-    targets = checkpointed(source_targets(sized.select(KEY, SIZE), cycle=cycle, cap=cap))
-    targets = targets.withColumnRenamed(KEY, "__mix_key")
-    joined = sized.join(small(targets, targets.count()), F.col(KEY).eqNullSafe(F.col("__mix_key")), "left")
-    whole = F.floor("rate")
-    copies = whole + F.when(draw(id_col, seed) < F.col("rate") - whole, 1).otherwise(0)
-    return joined.select(*docs.columns, F.col(SIZE).alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
+    targets = checkpointed(source_targets(sized.select(KEY, SIZE), cycle=cycle, cap=cap)).withColumnRenamed(KEY, "__mix_key")
+    n_sources = targets.count()
+    fraction = F.col("rate") - F.floor("rate")
+    met = lambda sources: sized.join(small(sources, n_sources), F.col(KEY).eqNullSafe(F.col("__mix_key")), "left")
+    taken = [F.sum(F.when(draw(id_col, seed, F.lit(k)) < fraction, F.col(SIZE)).otherwise(0)).alias(f"__mix_{k}") for k in range(tries)]
+    sums = met(targets).groupBy("__mix_key").agg(*taken).withColumnRenamed("__mix_key", "__mix_same")
+    off = lambda k: F.abs(F.col("source_size") * F.floor("rate") + F.col(f"__mix_{k}") - F.col("target"))
+    nearest = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).alias("k")) for k in range(tries)]))["k"]
+    chosen = targets.join(sums, F.col("__mix_key").eqNullSafe(F.col("__mix_same"))).withColumn("__mix_seed", nearest)
+    chosen = checkpointed(chosen.select("__mix_key", "source_size", "target", "rate", "__mix_seed"))
+    copies = F.floor("rate") + F.when(draw(id_col, seed, F.col("__mix_seed")) < fraction, 1).otherwise(0)
+    return met(chosen).select(*docs.columns, F.col(SIZE).alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:

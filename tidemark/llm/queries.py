@@ -128,14 +128,23 @@ WITH sized AS (
          ELSE CAST(CAST(r.w * l.rest AS BIGINT) AS DOUBLE) / CAST(CAST(l.w_rest AS BIGINT) AS DOUBLE) END AS target
   FROM ranked r LEFT JOIN level l ON true
 ), rated AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-    CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS draw
+  SELECT d.doc_id, d.size, d.source, t.source_size, t.target,
+    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), drawn AS (
+  SELECT *, CAST(('0x' || substr(md5('mix:' || k || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS draw
+  FROM rated, (SELECT unnest(range(16)) AS k)
+), sums AS (
+  SELECT source, k, any_value(source_size) AS source_size, any_value(rate) AS rate, any_value(target) AS target,
+    CAST(sum(CASE WHEN draw < rate - floor(rate) THEN size ELSE 0 END) AS BIGINT) AS extra
+  FROM drawn GROUP BY source, k
+), best AS (
+  SELECT source, k FROM sums
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(source_size * floor(rate) + extra - target), k) = 1
 )
-SELECT doc_id, size, source_size, target,
-  CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM rated
+SELECT d.doc_id, d.size, d.source_size, d.target,
+  CAST(d.size * (floor(d.rate) + CASE WHEN d.draw < d.rate - floor(d.rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM drawn d JOIN best b ON d.source IS NOT DISTINCT FROM b.source AND d.k = b.k
 """
 
 OP10_SQL = """
