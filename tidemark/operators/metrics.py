@@ -89,8 +89,8 @@ def silhouette(df: DataFrame, *, id_col: str, vector: str, cluster: str) -> Data
     """(id_col, cluster, silhouette) under cosine distance, in time linear in the rows.
 
     The mean distance of x to a cluster of unit vectors is 1 - x . S / n with their sum S, so rows need sums of
-    clusters only, not each other. A row that is alone in its cluster has 0. Clusters are few (counted), and their
-    sums join by broadcast if so.
+    clusters only, not each other. A row that is alone in its cluster has 0. The sums of all clusters, as many
+    numbers as clusters times dimensions, are one row that goes to each task.
     """
     rows = df.where(F.col(cluster).isNotNull() & F.col(vector).isNotNull()).select(id_col, F.col(cluster).alias("c"), unit(vector).alias("u")).where("u IS NOT NULL")
     sums = rows.select("c", F.posexplode("u").alias("k", "x")).groupBy("c", "k").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
@@ -157,12 +157,15 @@ def perplexity(train: DataFrame, test: DataFrame, *, id_col: str, text: str) ->
 
 
 def stratified_sample(df: DataFrame, *, label: str, key: str, n: int, seed: str = "test") -> DataFrame:
-    """About n rows with each label's share, the first of each by the md5 of seed and key; n is the feature."""
+    """About n rows with each label's share, the first of each by the md5 of seed and key; n is the feature.
+
+    No label takes more than n, and with that bound on the rank each task sends at most n rows of a label.
+    """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
     w, all_rows = Window.partitionBy(label), Window.partitionBy(F.lit(0))
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     wanted = sizes.withColumn("__take", F.round(F.lit(n) * F.col("__n") / F.sum("__n").over(all_rows)).cast("long")).select(F.col(label).alias("__l"), "__take")
-    ranked = df.withColumn("__k", F.row_number().over(w.orderBy(order, key)))
+    ranked = df.withColumn("__k", F.row_number().over(w.orderBy(order, key))).where(F.col("__k") <= n)
     return ranked.join(F.broadcast(wanted), F.col(label).eqNullSafe(F.col("__l"))).where(F.col("__k") <= F.col("__take")).drop("__k", "__l", "__take")
 
 

@@ -15,12 +15,12 @@ from tidemark.operators import ensemble, rules
 def distinct_posts(posts: DataFrame, *, text: str, id_col: str) -> DataFrame:
     """One row of each distinct text, that of the smallest id; null texts are left out.
 
-    Grouped by the text's hash and length first, and only then by the text, so equal texts collapse on the map side.
+    Texts are equal if their 256-bit hashes are. Only texts that occur more than once have an entry on the other side
+    of the join, which adaptive execution broadcasts if it turns out small.
     """
-    rows = posts.where(F.col(text).isNotNull())
-    first = rows.groupBy(F.sha2(F.col(text).cast("binary"), 256).alias("__h")).agg(F.min(id_col).alias("__i"))
-    hashed = rows.withColumn("__h", F.sha2(F.col(text).cast("binary"), 256))
-    return hashed.join(first, (hashed["__h"] == first["__h"]) & (hashed[id_col] == first["__i"]), "left_semi").drop("__h")
+    rows = posts.where(F.col(text).isNotNull()).withColumn("__h", F.sha2(F.col(text).cast("binary"), 256))
+    first = rows.groupBy("__h").agg(F.min(id_col).alias("__i"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).drop("__n")
+    return rows.join(first, "__h", "left").where(F.col("__i").isNull() | (F.col(id_col) == F.col("__i"))).drop("__h", "__i")
 
 
 def preprocess(posts: DataFrame, *, text: str, id_col: str, time: str | None = None, lexicon: Mapping[str, str] | None = None, signals: Mapping[str, Iterable[str]] | None = None, unescape: bool = True, carry: Iterable[str] = (), dedup: bool = True) -> DataFrame:
