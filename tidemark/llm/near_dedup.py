@@ -239,9 +239,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
 
     roots = linked.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(linked.select("b", "b").distinct())
     reps = classes.select("fp", "rep", "copies").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = reps.where((F.col("copies") > 1) | (F.col("root") != F.col("fp"))).select("root").distinct()
-    grouped = reps.join(least, "root", "left_semi")
-    found = checkpointed(grouped.join(grouped.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id"))
+    groups = reps.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("__n")).where(F.col("__n") > 1).drop("__n")
+    groups = checkpointed(groups)
+    found = checkpointed(reps.join(small(groups, groups.count()), "root").select("fp", "component_id"))
     out = rows.select("id", "n_shingles", "fp").join(small(found, found.count()), "fp", "left")
     # A row whose set no other has is alone, whatever its id.
     component = F.coalesce("component_id", "id")
