@@ -19,8 +19,10 @@ TEXTS = [
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """The rows above with extra columns whose names clash with those that operators return."""
-    rows = [(*r, None if r[1] is None else len(r[1]), "x", 5, True) for r in TEXTS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, label string, score int, predicted boolean").repartition(3)
+    clashing = ("size", "source_size", "target", "copies", "keep_id", "group_size", "kept", "fp", "bands", "id", "key", "hub", "root", "rep", "component_id", "held_out", "n_words", "symbol_rate", "base_failed", "start", "length", "offset", "ids", "matches", "base", "found", "rejected", "w", "n", "rate")
+    rows = [(*r, None if r[1] is None else len(r[1]), "x", 5, True, *[f"own {c}" for c in clashing]) for r in TEXTS]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, label string, score int, predicted boolean, " + ", ".join(f"{c} string" for c in clashing)
+    return spark.createDataFrame(rows, schema).repartition(3)
 
 
 @pytest.fixture(scope="session")

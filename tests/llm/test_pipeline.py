@@ -77,8 +77,11 @@ def test_stages_written_and_read_again(spark, tmp_path):
 def test_odd_rows_pass_all_stages(spark, odd_docs, no_docs, tmp_path):
     spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for docs in (odd_docs, no_docs):
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert docs.columns == odd_docs.columns
+                assert all(r["kept"] == "own kept" and r["size"] == "own size" and r["id"] == "own id" for r in docs.collect())
         rows = docs.collect()
         assert len({r["doc_id"] for r in rows}) <= 9
     assert rows == []

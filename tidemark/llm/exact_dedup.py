@@ -23,36 +23,22 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+KEEP, SIZE, KEPT, ROWS = "__dup_keep", "__dup_size", "__dup_kept", "__dup_rows"
+
+
 def _groups(rows: DataFrame, *keys: str, keep: str) -> DataFrame:
-    """(keys, keep_id, group_size, keep_rows): the id that stays, all rows, and rows that have that id."""
+    """(keys, KEEP, SIZE, ROWS): the id that stays, all rows, and rows that have that id."""
     by_id = rows.groupBy(*keys, ID).agg(F.count(F.lit(1)).alias("n"))
     best = F.max(F.struct(ID, "n")) if keep == "largest" else F.min(F.struct(F.col(ID).isNull(), ID, "n"))
-    return (
-        by_id.groupBy(*keys)
-        .agg(best.alias("best"), F.sum("n").alias("group_size"))
-        .select(*keys, F.col(f"best.{ID}").alias("keep_id"), "group_size", F.col("best.n").alias("keep_rows"))
-    )
+    out = by_id.groupBy(*keys).agg(best.alias("best"), F.sum("n").alias(SIZE))
+    return out.select(*keys, F.col(f"best.{ID}").alias(KEEP), SIZE, F.col("best.n").alias(ROWS))
 
 
-def duplicate_groups(
-    docs: DataFrame,
-    *,
-    keep: str = "largest",
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    hash_of=content_hash,
-) -> DataFrame:
-    """docs with the columns keep_id, group_size and kept (and keep_rows and HASH, for callers to drop).
-
-    keep is "largest" or "smallest" id. Null texts count as empty. A null id is below all others and stays only
-    where a group has no other. Repeated rows (same id and text) are all marked kept; drop_duplicates() leaves
-    one of them. An empty table gives an empty one. Columns of docs with these names are replaced. hash_of is
-    there so that tests can make hashes collide.
-    """
-    docs = docs.drop(*[c for c in ("keep_id", "group_size", "kept", "keep_rows") if c in docs.columns])
+def _marked(docs: DataFrame, *, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text", hash_of=content_hash) -> DataFrame:
+    """docs with KEEP, SIZE, KEPT, ROWS and HASH."""
     text = text_or_empty(text_col)
     rows = docs.select(hash_of(text).alias(HASH), F.col(id_col).alias(ID))
-    groups = checkpointed(_groups(rows, HASH, keep=keep).where("group_size > 1"))
+    groups = checkpointed(_groups(rows, HASH, keep=keep).where(F.col(SIZE) > 1))
     n_groups = groups.count()
     texts = docs.select(hash_of(text).alias(HASH), text.alias(TEXT)).join(small(groups.select(HASH), n_groups, MOST), HASH, "left_semi")
     collided = checkpointed(texts.groupBy(HASH, TEXT).count().groupBy(HASH).count().where("count > 1").select(HASH))
@@ -60,32 +46,44 @@ def duplicate_groups(
 
     hashed = docs.withColumn(HASH, hash_of(text))
     if not n_collided:
-        return _marked(hashed, small(groups, n_groups, MOST), [HASH], id_col)
+        return _joined(hashed, small(groups, n_groups, MOST), [HASH], id_col)
     collided = small(collided, n_collided, MOST)
-    clean = _marked(hashed.join(collided, HASH, "left_anti"), small(groups, n_groups, MOST), [HASH], id_col)
+    clean = _joined(hashed.join(collided, HASH, "left_anti"), small(groups, n_groups, MOST), [HASH], id_col)
     mixed = hashed.join(collided, HASH, "left_semi").withColumn(TEXT, text)
     by_text = _groups(mixed.select(HASH, TEXT, F.col(id_col).alias(ID)), HASH, TEXT, keep=keep)
-    return clean.unionByName(_marked(mixed, by_text, [HASH, TEXT], id_col).drop(TEXT))
+    return clean.unionByName(_joined(mixed, by_text, [HASH, TEXT], id_col).drop(TEXT))
 
 
-def _marked(rows: DataFrame, groups: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """Each row with its group; a row without one is alone. groups has one row a key, so that a join by
     shuffle, taken where groups are too many to broadcast, can split the rows of a large group."""
     joined = rows.join(groups, keys, "left").withColumns(
         {
-            "keep_id": F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")),
-            "group_size": F.coalesce("group_size", F.lit(1)).cast("long"),
-            "keep_rows": F.coalesce("keep_rows", F.lit(1)).cast("long"),
+            KEEP: F.when(F.col(SIZE).isNull(), F.col(id_col)).otherwise(F.col(KEEP)),
+            SIZE: F.coalesce(SIZE, F.lit(1)).cast("long"),
+            ROWS: F.coalesce(ROWS, F.lit(1)).cast("long"),
         }
     )
-    return joined.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+    return joined.withColumn(KEPT, F.col(id_col).eqNullSafe(F.col(KEEP)))
+
+
+def duplicate_groups(docs: DataFrame, **options) -> DataFrame:
+    """docs with the columns keep_id, group_size and kept.
+
+    Options: keep ("largest" or "smallest" id), id_col, text_col, and hash_of, which is there so that tests can make
+    hashes collide. Null texts count as empty. A null id is below all others and stays only where a group has no
+    other. Repeated rows (same id and text) are all marked kept; drop_duplicates() leaves one of them. An empty table
+    gives an empty one. Columns of docs with the three names are replaced.
+    """
+    named = {"keep_id": KEEP, "group_size": SIZE, "kept": KEPT}
+    return _marked(docs, **options).select(*[c for c in docs.columns if c not in named], *[F.col(inner).alias(c) for c, inner in named.items()])
 
 
 def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, one for each distinct text, with the columns of docs."""
-    marked = duplicate_groups(docs, **options).where("kept")
-    once = marked.where("keep_rows = 1").select(*docs.columns)
-    repeated = marked.where("keep_rows > 1")
+    """The rows of docs that stay, one for each distinct text, with exactly the columns of docs."""
+    stay = _marked(docs, **options).where(KEPT)
+    once = stay.where(F.col(ROWS) == 1).select(*docs.columns)
+    repeated = stay.where(F.col(ROWS) > 1)
     if repeated.isEmpty():
         return once
-    return once.unionByName(repeated.dropDuplicates([HASH, "keep_id"]).select(*docs.columns))
+    return once.unionByName(repeated.dropDuplicates([HASH, KEEP]).select(*docs.columns))

@@ -67,45 +67,43 @@ def _multiple(cycle: int) -> int:
     return lcm(*range(1, cycle + 1))
 
 
-def mixing_plan(
-    docs: DataFrame,
-    *,
-    cycle: int = 3,
-    cap: int = 3,
-    seed: str = "mix",
-    tries: int = TRIES,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """docs with four more columns: size, source_size, target (of the source) and copies.
+NAMES = {"size": SIZE, "source_size": "__mix_total", "target": "__mix_target", "copies": "__mix_copies"}
 
-    Columns of docs that have these names are replaced. A null text has size 0. A null source is a source of
-    its own, the last. A null id draws as the empty text; repeated rows draw alike. Where no source has words,
-    targets and copies are 0. An empty table gives an empty one. No source is moved to one task: sizes are
-    summed on the map side, and the sources join by broadcast if they are counted and few, else by a shuffle
-    that adaptive execution splits.
-    """
-    docs = docs.drop(*[c for c in ("size", "source_size", "target", "copies") if c in docs.columns])
+
+def _planned(docs: DataFrame, *, cycle: int = 3, cap: int = 3, seed: str = "mix", tries: int = TRIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with the plan under the internal names of NAMES."""
     sized = docs.withColumns({SIZE: words_in(text_col), KEY: F.col(source_col)})
-    targets = checkpointed(source_targets(sized.select(KEY, SIZE), cycle=cycle, cap=cap)).withColumnRenamed(KEY, "__mix_key")
+    targets = checkpointed(source_targets(sized.select(KEY, SIZE), cycle=cycle, cap=cap))
+    targets = targets.select(F.col(KEY).alias("__mix_key"), F.col("source_size").alias("__mix_total"), F.col("target").alias("__mix_target"), F.col("rate").alias("__mix_rate"))
     n_sources = targets.count()
-    fraction = F.col("rate") - F.floor("rate")
+    whole = F.floor("__mix_rate")
+    fraction = F.col("__mix_rate") - whole
     met = lambda sources: sized.join(small(sources, n_sources), F.col(KEY).eqNullSafe(F.col("__mix_key")), "left")
     taken = [F.sum(F.when(draw(id_col, seed, F.lit(k)) < fraction, F.col(SIZE)).otherwise(0)).alias(f"__mix_{k}") for k in range(tries)]
     sums = met(targets).groupBy("__mix_key").agg(*taken).withColumnRenamed("__mix_key", "__mix_same")
-    off = lambda k: F.abs(F.col("source_size") * F.floor("rate") + F.col(f"__mix_{k}") - F.col("target"))
+    off = lambda k: F.abs(F.col("__mix_total") * whole + F.col(f"__mix_{k}") - F.col("__mix_target"))
     nearest = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).alias("k")) for k in range(tries)]))["k"]
     chosen = targets.join(sums, F.col("__mix_key").eqNullSafe(F.col("__mix_same"))).withColumn("__mix_seed", nearest)
-    chosen = checkpointed(chosen.select("__mix_key", "source_size", "target", "rate", "__mix_seed"))
-    copies = F.floor("rate") + F.when(draw(id_col, seed, F.col("__mix_seed")) < fraction, 1).otherwise(0)
-    return met(chosen).select(*docs.columns, F.col(SIZE).alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
+    chosen = checkpointed(chosen.select("__mix_key", "__mix_total", "__mix_target", "__mix_rate", "__mix_seed"))
+    copies = whole + F.when(draw(id_col, seed, F.col("__mix_seed")) < fraction, 1).otherwise(0)
+    return met(chosen).withColumn("__mix_copies", copies.cast("long")).select(*docs.columns, *NAMES.values())
+
+
+def mixing_plan(docs: DataFrame, **options) -> DataFrame:
+    """docs with four more columns: size, source_size, target (of the source) and copies.
+
+    Options: cycle and cap of the targets, seed, tries, id_col, text_col, source_col. Columns of docs that have the
+    four names are replaced. A null text has size 0. A null source is a source of its own, the last. A null id draws
+    as the empty text; repeated rows draw alike. Where no source has words, targets and copies are 0. An empty table
+    gives an empty one. No source is moved to one task: sizes are summed on the map side, and the sources join by
+    broadcast if they are counted and few, else by a shuffle that adaptive execution splits.
+    """
+    plan = _planned(docs, **options)
+    return plan.select(*[c for c in docs.columns if c not in NAMES], *[F.col(inner).alias(c) for c, inner in NAMES.items()])
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as its plan says, with the columns of docs."""
-    plan = mixing_plan(docs, **options).where("copies > 0")
-    kept = [c for c in docs.columns if c in plan.columns and c not in ("size", "source_size", "target", "copies")]
-    if len(kept) < len(docs.columns):
-        raise ValueError("docs must not have the columns size, source_size, target, copies")
-    return plan.select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__mix_copy")).drop("__mix_copy")
+    """The mix itself: the rows of docs, each as often as its plan says, with exactly the columns of docs."""
+    rows = _planned(docs, **options).where("__mix_copies > 0")
+    repeated = F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))).alias("__mix_copy")
+    return rows.select(*docs.columns, repeated).select(*docs.columns)
