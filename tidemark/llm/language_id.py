@@ -109,15 +109,15 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit_languages(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
+def fit_languages(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, most_languages: int = 500, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
     """A model from at most sample_rows texts with a known language whose fold is not held; None if there are none.
 
     The sample takes about equally many texts of each language, picked by the hash of their ids: languages are
-    counted first, and each has its own bound. It carries the first words of a text to the driver; predictions
+    counted first (the most_languages most common ones are learned), and each has its own bound. It carries the first words of a text to the driver; predictions
     use whole texts.
     """
     taught = docs.where(F.col(lang_col).isNotNull() & (fold(id_col, folds) != held) & F.col(id_col).isNotNull())
-    counts = {r[0]: r[1] for r in taught.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(500).collect()}
+    counts = {r[0]: r[1] for r in taught.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_languages).collect()}
     if not counts:
         return None
     share = sample_rows // len(counts) + 1
