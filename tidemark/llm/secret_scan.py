@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -90,17 +91,24 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], low: str, reach: i
                 weak.append((m.start(group), m.end(group), kind, role))
     if not weak:
         return []
-    weak = [w for w in weak if not any(a <= w[0] and w[1] <= b for a, b, _ in base[max(bisect_left(base, (w[0] - 4096,)), 0) : bisect_right(base, (w[1],))])]
+    covers = list(accumulate((b for _, b, _ in base), max))  # the furthest end of the base spans up to each
+    starts = [a for a, _, _ in base]
+    inside = lambda a, b: (k := bisect_right(starts, a)) and covers[k - 1] >= b
+    weak = [w for w in weak if not inside(w[0], w[1])]
     parts = {r: sorted([(a, b) for a, b, k, role in weak if role == r] + [(a, b) for a, b, k in base if ROLES[k] == r]) for r in ("identifier", "secret", "endpoint")}
+    furthest = {r: list(accumulate((b for _, b in p), max)) for r, p in parts.items()}
     cuts = [m.start() for m in BLANK.finditer(text)]
+    scope = lambda at: bisect_left(cuts, at)
     out = []
     for a, b, kind, role in weak:
-        scope = bisect_left(cuts, a)
         for other in ("identifier", "endpoint") if role == "secret" else ("secret",):
             near = parts[other]
-            # Intervals of one role do not overlap much, so the first that starts in reach before and after is enough.
             k = bisect_left(near, (a,))
-            if any(0 <= j < len(near) and max(near[j][0] - b, a - near[j][1]) <= reach and bisect_left(cuts, near[j][0]) == scope for j in (k - 1, k)):
+            # The last part that starts before, with the furthest end so far: a part that runs on past it holds no
+            # white space, so it is in the same scope. After it, the first that starts is the nearest.
+            before = k > 0 and a - furthest[other][k - 1] <= reach and scope(near[k - 1][0]) == scope(a)
+            after = k < len(near) and near[k][0] - b <= reach and scope(near[k][0]) == scope(a)
+            if before or after:
                 out.append((a, b, kind))
                 break
     return out
