@@ -12,6 +12,7 @@ TEXTS = [
     (7, "line one here\nline one here\nother line\n\n  \nline one here\n### a|b", "fr", "é"),
     (8, "long " * 9000 + "end", "es", "z"),
     (9, "Ünïcode wörds – and non-breaking spaces \U0001f600 ok", "fr", "a"),
+    (10, "x" * 60_000 + " " + "Y" * 60_000 + "1z" * 20_000, "en", "b"),
     (None, "row without an id", "en", "a"),
 ]
 

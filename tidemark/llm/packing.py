@@ -48,7 +48,8 @@ def byte_letters() -> dict[int, str]:
 
 
 class Remembered(dict):
-    """A bounded memo. Full, it becomes the old generation, from which entries that are still used come back."""
+    """A bounded memo. Full, it becomes the old generation, from which entries that are still used come back.
+    Very long keys are not remembered."""
 
     def __init__(self):
         super().__init__()
@@ -58,6 +59,8 @@ class Remembered(dict):
         value = self.old.pop(key, None)
         if value is None:
             value = self.made(key)
+        if len(key) > 256:
+            return value
         if len(self) >= CACHED_WORDS:
             self.old = dict(self)
             self.clear()

@@ -39,7 +39,8 @@ STEMS = (4, 5, 6)
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-OBFUSCATED = re.compile(r"[^\W\d_]+[0134579@$!*]+[^\W\d_]+")
+#: Bounded on all sides, so that a long run of letters costs no more than its length.
+OBFUSCATED = re.compile(r"[^\W\d_]{1,30}[0134579@$!*]{1,10}[^\W\d_]{1,30}")
 CAPITALS = re.compile(r"\b[^\W\d_a-z]{2,}\b")
 MARKS = re.compile(r"[!?]")
 RUNS = re.compile(r"[!?]{2,}|\*{2,}")
