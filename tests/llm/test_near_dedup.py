@@ -4,7 +4,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tests.llm.conftest import TEXTS
 from tidemark.llm.components import UnionFind, connected_components

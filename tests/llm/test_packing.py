@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import TEXTS

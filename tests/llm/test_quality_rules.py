@@ -2,7 +2,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from tidemark.llm.quality_rules import BASE, Rule, fit_rules, judge_quality, learn_rules
 from tests.llm.conftest import TEXTS

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, small, stable_order, text_or_empty
+from tidemark.llm.common import small, stable_order, text_or_empty
 
 #: Labelled rows to learn from, at most.
 SAMPLE_ROWS = 20_000

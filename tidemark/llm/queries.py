@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, fold, labels, text_or_empty
+from tidemark.llm.common import documents, labels, text_or_empty
 
 
 def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
