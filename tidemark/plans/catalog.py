@@ -15,6 +15,7 @@ from tidemark.functions import text as X
 from tidemark.functions import vectors as V
 from tidemark.operators import clusters, decide, ensemble, knn, metrics, narrative, rules, series
 from tidemark.plans import risk as risk_plan
+from tidemark.session import spread
 from tidemark.sources import readers
 
 QUERIES: dict = {}
@@ -394,7 +395,7 @@ def _term_sql() -> str:
 
 @query("slang_normalize", f"SELECT doc_id, md5({_term_sql()}) AS digest FROM documents")
 def slang_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(X.normalize_terms("text", LEXICON).cast("binary")).alias("digest"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(X.normalize_terms("text", LEXICON).cast("binary")).alias("digest"))
 
 
 def _hits_sql(phrases) -> str:
@@ -455,7 +456,7 @@ def stable_ids(spark, d):
 
 
 def _score_table(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     terms = F.filter(F.array(*[F.when(F.contains(F.lower("text"), F.lit(t)), v) for t, v in (("thnt", "alpha"), ("onst", "beta"), ("für", "gamma"), ("les", "delta"))]), lambda x: x.isNotNull())
     return docs.select(F.col("doc_id").alias("post_id"), "text", terms.alias("substances"), X.phrase_hits("text", SIGNALS).alias("signals"))
 

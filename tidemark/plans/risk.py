@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.functions import text as X
 from tidemark.operators import ensemble, rules
+from tidemark.session import spread
 
 
 def distinct_posts(posts: DataFrame, *, text: str, id_col: str) -> DataFrame:
@@ -29,6 +30,7 @@ def preprocess(posts: DataFrame, *, text: str, id_col: str, time: str | None = N
     carry names columns to keep, such as labels. Terms are normalised before signals are looked for.
     """
     lexicon = config.SLANG if lexicon is None else lexicon
+    posts = spread(posts)
     rows = distinct_posts(posts, text=text, id_col=id_col) if dedup else posts.where(F.col(text).isNotNull())
     processed = X.normalize_terms(X.scrub(X.clean(text, unescape=unescape)), lexicon)
     out = rows.select(F.col(id_col).alias("post_id"), *([F.col(time).alias("timestamp")] if time else []), *carry, F.col(text).alias("original_text"), processed.alias("processed_text"))

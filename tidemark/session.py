@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -36,3 +36,10 @@ def local_session(cpus: int = 8, *, memory: str = "8g", partitions: int | None =
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.adaptive.enabled": "true",
     }
     return builder.config(map=settings).getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table of fewer partitions than cores over all cores, for expensive text expressions on a small file;
+    larger tables stay as they are and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
