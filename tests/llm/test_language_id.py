@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 
 from tests.llm.conftest import TEXTS
+from tidemark.llm import language_id
 from tidemark.llm.language_id import LanguageModel, fit_languages, identify_languages, subwords, summed, train
 from tidemark.llm.queries import op6_language_id
 
@@ -51,3 +52,13 @@ def test_query_is_right_on_held_out_texts(spark):
     assert len(rows) == len(lang)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["held_out"]]) > 0.97
+
+
+def test_every_language_has_its_share(spark, monkeypatch):
+    """However few its rows are beside those of the others."""
+    seen = Counter()
+    monkeypatch.setattr(language_id, "train", lambda texts, targets, languages: seen.update(languages[k] for k in targets))
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('word ', id) AS text", "CASE WHEN id % 500 = 0 THEN 'rare' WHEN id % 15000 = 1 THEN 'few' WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS lang")
+    few = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(1, 60_000, 15_000))
+    fit_languages(docs, sample_rows=160)
+    assert seen == {"a": 41, "b": 41, "rare": 41, "few": few}

@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from tidemark.llm.packing import chunks
 
 #: Labelled texts to learn from, at most. Training reads this many words of each; predictions read all.
 SAMPLE_ROWS, TRAIN_WORDS = 6_000, 80
+#: Rows of each language drawn beyond its share, so that a small share isn't missed by chance.
+SPARE_ROWS = 64
 BUCKETS, DIMENSIONS = 1 << 15, 16
 
 NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -110,30 +112,29 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit_languages(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, most_languages: int = 500, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """A model from at most sample_rows texts with a known language whose fold is not held; None if there are none.
+    """A model from about sample_rows texts with a known language whose fold is not held; None if there are none.
 
-    The sample takes about equally many texts of each language, picked by the hash of their ids: languages are
-    counted first (the most_languages most common ones are learned), and each has its own bound. It carries the first words of a text to the driver; predictions
+    The sample takes equally many texts of each language, or all where it has fewer, picked by the hash of their ids:
+    the ids of each language are counted first (the most_languages most common ones are learned), and each has its
+    own bound, whatever the size of the table and of the others. It carries the first words of a text to the driver; predictions
     use whole texts.
     """
     taught = docs.where(F.col(lang_col).isNotNull() & (fold(id_col, folds) != held) & F.col(id_col).isNotNull())
-    counts = {r[0]: r[1] for r in taught.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_languages).collect()}
+    taught = taught.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    counts = {r["l"]: r["n"] for r in taught.groupBy("l").agg(F.count(F.lit(1)).alias("c"), F.approx_count_distinct("i").alias("n")).orderBy(F.desc("c"), "l").limit(most_languages).collect()}
     if not counts:
         return None
     share = sample_rows // len(counts) + 1
-    # An even draw by hash that yields a little more than the share of each language; then the bound itself.
-    ratio = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, 1.3 * share / n + 0.02))])
-    drawn = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    first = F.concat_ws(" ", F.slice(F.split(F.substring(F.col(text_col), 1, 40 * TRAIN_WORDS), r"\s+"), 1, TRAIN_WORDS))
-    rows = taught.where(drawn < ratio[F.col(lang_col)]).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), first.alias("t"))
-    sample = rows.orderBy(stable_order("i", "sample"), "i", "l", "t").limit(2 * sample_rows).collect()
-    kept, seen = [], dict.fromkeys(counts, 0)
-    for r in sample:
-        if seen[r["l"]] < share:
-            seen[r["l"]] += 1
-            kept.append((r["t"] or "", r["l"]))
+    # An even draw by hash that yields a little more than the share of each language, so that little is sorted; then the bound itself.
+    ratio = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, (1.3 * share + SPARE_ROWS) / n)])
+    drawn = F.pmod(F.xxhash64(F.lit("language"), F.col("i")), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    first = F.concat_ws(" ", F.slice(F.split(F.substring(F.col("t"), 1, 40 * TRAIN_WORDS), r"\s+"), 1, TRAIN_WORDS))
+    rows = taught.where(drawn < ratio[F.col("l")]).select("i", "l", first.alias("t"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy(stable_order("i", "sample"), "i", "t"))
+    sample = sorted(rows.select("l", place.alias("k"), "t").where(F.col("k") <= share).collect(), key=lambda r: (r["k"], r["l"]))
     languages = sorted(counts)
-    return train([t for t, _ in kept], np.array([languages.index(l) for _, l in kept], np.int64), languages)
+    at = {l: k for k, l in enumerate(languages)}
+    return train([r["t"] or "" for r in sample], np.array([at[r["l"]] for r in sample], np.int64), languages)
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None, *, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
