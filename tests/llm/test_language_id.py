@@ -62,3 +62,16 @@ def test_every_language_has_its_share(spark, monkeypatch):
     few = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(1, 60_000, 15_000))
     fit_languages(docs, sample_rows=160)
     assert seen == {"a": 41, "b": 41, "rare": 41, "few": few}
+
+
+def test_whole_texts_are_learned(spark, monkeypatch):
+    """Languages whose texts differ only after a long shared opening; each sampled text counts with all its subwords."""
+    opening = "one shared opening of every text " * 40
+    rows = [(k, opening + ("the cat and the dog " if k % 2 else "el gato y el perro ") * 60, "en" if k % 2 else "es") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in identify_languages(docs, fit_languages(docs)).collect()}
+    assert all(got[i] == l for i, _, l in rows)
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda texts, targets, languages: seen.extend(texts))
+    fit_languages(docs)
+    assert {int(count.sum()) for _, count in seen} == {len(subwords(t)) for _, t, _ in rows}

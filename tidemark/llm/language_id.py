@@ -19,11 +19,12 @@ from pyspark.sql import types as T
 from tidemark.llm.common import cells, fold, mapped, spread, stable_order
 from tidemark.llm.packing import chunks
 
-#: Labelled texts to learn from, at most. Training reads this many words of each; predictions read all.
-SAMPLE_ROWS, TRAIN_WORDS = 6_000, 80
+#: Labelled texts to learn from; of each, all words are read.
+SAMPLE_ROWS = 6_000
 #: Rows of each language drawn beyond its share, so that a small share isn't missed by chance.
 SPARE_ROWS = 64
 BUCKETS, DIMENSIONS = 1 << 15, 16
+Bag = tuple[np.ndarray, np.ndarray]
 
 NO_LETTERS = re.compile(r"[\W\d_]+")
 U = np.uint64
@@ -58,21 +59,32 @@ class LanguageModel:
         return (sums / np.maximum(counts, 1)[:, None]) @ self.layer + self.bias
 
 
-def summed(text: str | None, model: LanguageModel) -> tuple[np.ndarray, int]:
-    """The sum of the rows of a whole text's subwords, and their number."""
+def counted(text: str | None) -> np.ndarray:
+    """How often each bucket occurs among a whole text's subwords."""
     counts = np.zeros(BUCKETS, np.int64)
     for part in chunks(text or ""):
         counts += np.bincount(subwords(part), minlength=BUCKETS)
+    return counts
+
+
+def summed(text: str | None, model: LanguageModel) -> tuple[np.ndarray, int]:
+    """The sum of the rows of a whole text's subwords, and their number."""
+    counts = counted(text)
     return counts @ model.table, int(counts.sum())
 
 
-def train(texts: list[str], targets: np.ndarray, languages: list[str], *, epochs: int = 4, rate: float = 4.0, batch: int = 32, seed: int = 3) -> LanguageModel:
+def bag(text: str | None) -> Bag:
+    """A whole text's distinct subwords, and how often each occurs: six bytes a distinct subword."""
+    counts = counted(text)
+    index = np.flatnonzero(counts)
+    return index.astype("<u2"), counts[index].astype("<u4")
+
+
+def train(texts: list[str | Bag], targets: np.ndarray, languages: list[str], *, epochs: int = 4, rate: float = 4.0, batch: int = 32, seed: int = 3) -> LanguageModel:
     rng = np.random.default_rng(seed)
     model = LanguageModel(languages, rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.1, (DIMENSIONS, len(languages))), np.zeros(len(languages)))
-    bags = []  # distinct subwords of a text, and their shares of its mean
-    for t in texts:
-        index, count = np.unique(subwords(t), return_counts=True)
-        bags.append((index, count / max(count.sum(), 1)))
+    bags = [bag(t) if isinstance(t, str) else t for t in texts]
+    shares = lambda r: bags[r][1] / max(bags[r][1].sum(), 1)  # noqa: E731  (of a text's mean, by its distinct subwords)
     known = np.array([k for k, (b, _) in enumerate(bags) if len(b)], np.int64)
     held = known[rng.random(len(known)) < 0.2]
     taught = np.setdiff1d(known, held) if len(held) < len(known) else known
@@ -82,7 +94,7 @@ def train(texts: list[str], targets: np.ndarray, languages: list[str], *, epochs
         order = rng.permutation(taught)
         for k in range(0, len(order), batch):
             rows = order[k : k + batch]
-            flat, share = (np.concatenate([bags[r][c] for r in rows]) for c in (0, 1))
+            flat, share = np.concatenate([bags[r][0] for r in rows]), np.concatenate([shares(r) for r in rows])
             sizes = np.array([len(bags[r][0]) for r in rows])
             starts = np.concatenate([[0], sizes.cumsum()[:-1]])
             mean = np.add.reduceat(model.table[flat] * share[:, None], starts)
@@ -98,7 +110,7 @@ def train(texts: list[str], targets: np.ndarray, languages: list[str], *, epochs
             model.table[index] -= step * total
             done += len(rows)
     if len(held):
-        z = np.stack([bags[r][1] @ model.table[bags[r][0]] @ model.layer + model.bias for r in held])
+        z = np.stack([shares(r) @ model.table[bags[r][0]] @ model.layer + model.bias for r in held])
         grid = np.geomspace(0.2, 5, 41)
         loss = [-np.log(softmax(z / t)[np.arange(len(held)), targets[held]] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
@@ -116,8 +128,8 @@ def fit_languages(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, most_langu
 
     The sample takes equally many texts of each language, or all where it has fewer, picked by the hash of their ids:
     the ids of each language are counted first (the most_languages most common ones are learned), and each has its
-    own bound, whatever the size of the table and of the others. It carries the first words of a text to the driver; predictions
-    use whole texts.
+    own bound, whatever the size of the table and of the others. Whole texts are counted on the executors, in training as
+    in prediction; the driver gets the hashed counts of the sample only.
     """
     taught = docs.where(F.col(lang_col).isNotNull() & (fold(id_col, folds) != held) & F.col(id_col).isNotNull())
     taught = taught.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
@@ -128,13 +140,22 @@ def fit_languages(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, most_langu
     # An even draw by hash that yields a little more than the share of each language, so that little is sorted; then the bound itself.
     ratio = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, (1.3 * share + SPARE_ROWS) / n)])
     drawn = F.pmod(F.xxhash64(F.lit("language"), F.col("i")), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    first = F.concat_ws(" ", F.slice(F.split(F.substring(F.col("t"), 1, 40 * TRAIN_WORDS), r"\s+"), 1, TRAIN_WORDS))
-    rows = taught.where(drawn < ratio[F.col("l")]).select("i", "l", first.alias("t"))
-    place = F.row_number().over(Window.partitionBy("l").orderBy(stable_order("i", "sample"), "i", "t"))
-    sample = sorted(rows.select("l", place.alias("k"), "t").where(F.col("k") <= share).collect(), key=lambda r: (r["k"], r["l"]))
+    rows = spread(taught.where(drawn < ratio[F.col("l")]).select(stable_order("i", "sample").alias("o"), "l", "t"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for order, l, text in cells([batch], "o", "l", "t"):
+                index, count = bag(text)
+                yield pa.RecordBatch.from_arrays([pa.array([order], pa.int64()), pa.array([l], pa.string()), pa.array([index.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], ["o", "l", "index", "count"])
+
+    bags = mapped(rows, run, "o long, l string, index binary, count binary")
+    place = F.row_number().over(Window.partitionBy("l").orderBy("o", "index", "count"))
+    sample = sorted(bags.withColumn("k", place).where(F.col("k") <= share).drop("o").collect(), key=lambda r: (r["k"], r["l"]))
     languages = sorted(counts)
     at = {l: k for k, l in enumerate(languages)}
-    return train([r["t"] or "" for r in sample], np.array([at[r["l"]] for r in sample], np.int64), languages)
+    return train([(np.frombuffer(r["index"], "<u2"), np.frombuffer(r["count"], "<u4")) for r in sample], np.array([at[r["l"]] for r in sample], np.int64), languages)
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None, *, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
