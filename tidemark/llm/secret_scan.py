@@ -31,14 +31,14 @@ HINTS = ("passw", "secret", "token", "api")
 #: Code points between two parts that may still be linked.
 REACH = 400
 
-#: Weak parts: kind, role, pattern, group of the span, least entropy in bits a character.
+#: Weak parts, of any length: kind, role, pattern, group of the span, least entropy in bits a character.
 WEAK = (
-    ("user", "identifier", re.compile(r"""\b(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,64})""", re.IGNORECASE | re.ASCII), 1, 0.0),
+    ("user", "identifier", re.compile(r"""\b(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.IGNORECASE | re.ASCII), 1, 0.0),
     ("email", "identifier", re.compile(r"\b[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4}\b", re.ASCII), 0, 0.0),
-    ("key40", "secret", re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=])", re.ASCII), 0, 4.0),
-    ("short", "secret", re.compile(r"""\b(?:pw|pwd|pass|key|auth)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,64})""", re.IGNORECASE | re.ASCII), 1, 2.5),
-    ("url", "endpoint", re.compile(r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[^\s\"'<>]{3,200}", re.ASCII), 0, 0.0),
-    ("host", "endpoint", re.compile(r"""\b(?:host(?:name)?|server|endpoint|region|bucket)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.:/-]{3,200})""", re.IGNORECASE | re.ASCII), 1, 0.0),
+    ("key40", "secret", re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])", re.ASCII), 0, 4.0),
+    ("short", "secret", re.compile(r"""\b(?:pw|pwd|pass|key|auth)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,})""", re.IGNORECASE | re.ASCII), 1, 2.5),
+    ("url", "endpoint", re.compile(r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[^\s\"'<>]{3,}", re.ASCII), 0, 0.0),
+    ("host", "endpoint", re.compile(r"""\b(?:host(?:name)?|server|endpoint|region|bucket)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.:/-]{3,})""", re.IGNORECASE | re.ASCII), 1, 0.0),
 )
 #: A weak pattern is tried only where one of its marks occurs (None: always).
 MARKS = {
