@@ -89,6 +89,13 @@ def test_linking_is_the_interval_join():
         assert strict == {w for w in want if w[2] != "key40"} | {f for f in strict if f[2] == "key40"}, text
 
 
+def test_scope_alone_decides_without_a_reach(spark):
+    far = "user=bob42 " + "x " * 600 + "pwd=hunTer2!9x"
+    docs = spark.createDataFrame([(1, far), (2, far.replace(" x", "\n\nx", 1))], "doc_id long, text string")
+    found = lambda **k: {r["doc_id"]: [s["kind"] for s in r["found"]] for r in scan_secrets(docs, **k).collect()}
+    assert found() == {1: [], 2: []} and found(reach=None) == found(reach=1300) == {1: ["user", "short"], 2: []}
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = scan_secrets(odd_docs).collect()
     assert len(rows) == len(TEXTS) and all(r["base"] == [] for r in rows)

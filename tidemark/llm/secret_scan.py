@@ -28,7 +28,7 @@ KINDS = ("assign", "access", "hex")
 #: Every match of ASSIGN has one of these, whatever its case.
 HINTS = ("passw", "secret", "token", "api")
 
-#: Code points between two parts that may still be linked.
+#: Code points between two parts that may still be linked, unless the caller gives another reach.
 REACH = 400
 
 #: Weak parts, of any length: kind, role, pattern, group of the span, least entropy in bits a character.
@@ -75,12 +75,13 @@ def ordered(spans: Iterable[tuple[int, int, str]]) -> list[tuple[int, int, str]]
     return sorted(spans, key=lambda s: (s[0], names.index(s[2]), s[1]))
 
 
-def linked_spans(text: str, base: list[tuple[int, int, str]], low: str, reach: int = REACH) -> list[tuple[int, int, str]]:
+def linked_spans(text: str, base: list[tuple[int, int, str]], low: str, reach: int | None = REACH) -> list[tuple[int, int, str]]:
     """Weak parts that stand in one scope, within reach, of a part with another role.
 
     Strong parts link too, but two endpoints and identifiers alone are no credential: a weak part counts only if
-    a secret is among the roles that its link brings together.
+    a secret is among the roles that its link brings together. Without a reach (None) the scope alone decides.
     """
+    reach = len(text) if reach is None else reach
     weak = []
     for kind, role, pattern, group, least in WEAK:
         marks = MARKS[kind]
@@ -114,12 +115,12 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], low: str, reach: i
     return out
 
 
-def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def scan(text: str | None, reach: int | None = REACH) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans) of a whole text; a null text counts as empty."""
     text = text or ""
     low = text.lower()
     base = base_spans(text, low)
-    return base, ordered([*base, *linked_spans(text, base, low)])
+    return base, ordered([*base, *linked_spans(text, base, low, reach)])
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:
@@ -129,10 +130,11 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())])
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, *, reach: int | None = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, base (array of spans), found (array of all spans, base ones among them) for each row of docs.
 
-    Spans are in code points of the whole text, end exclusive, by start and then kind. Null and empty texts have
+    Weak parts are found only with a complement in the same scope at most reach code points away; with None, anywhere
+    in the scope. Spans are in code points of the whole text, end exclusive, by start and then kind. Null and empty texts have
     none. Every row is scanned alone: repeated rows get equal results. Other columns are ignored. An empty table
     gives an empty one.
     """
@@ -144,7 +146,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         named = lambda spans: [{"start": a, "end": b, "kind": k} for a, b, k in spans]
         for batch in batches:
-            got = [scan(text) for (text,) in cells([batch], text_col)]
+            got = [scan(text, reach) for (text,) in cells([batch], text_col)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array([named(g[c]) for g in got], kind) for c in (0, 1))], [f.name for f in schema])
 
     return mapped(spread(docs.select(id_col, text_col)), run, schema)
