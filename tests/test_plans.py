@@ -30,6 +30,16 @@ def test_spike_evidence(spark):
     assert p["method"] == "fallback" and p["prompt"].count("\n- ") == 4
 
 
+def test_spike_evidence_query_takes_all_spike_periods(spark):
+    from tidemark.operators import narrative
+    from tidemark.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    want = {r["start"] for r in narrative.spike_periods(catalog.drift_windows(spark, d)).collect()}
+    got = {r["start"] for r in catalog.spike_evidence(spark, d).collect()}
+    assert got == want and len(want) > 4, (len(got), len(want))
+
+
 def test_inputs(spark, tmp_path):
     v = spark.createDataFrame([("a", "high", "llm"), ("b", None, "rule_high"), ("c", "low", "llm")], "post_id string, final_risk_level string, routing string")
     e = spark.createDataFrame([("a", [1.0]), ("c", None), ("b", [0.0])], "post_id string, embedding array<double>")

@@ -1010,6 +1010,6 @@ def spike_evidence(spark, d):
     from tidemark.plans.evidence import spike_evidence as run
 
     rows = vectors(spark, d).withColumns({"text": F.concat(F.lit("post "), F.col("vec_id").cast("string")), "substance": F.concat(F.lit("s"), F.col("label").cast("string"))})
-    windows = narrative.spike_periods(drift_windows(spark, d), most=4)
+    windows = narrative.spike_periods(drift_windows(spark, d))
     queries = windows.select("start", F.array(*map(F.lit, QUERY)).alias("query_vector"))
     return run(rows, windows, queries, time="t", id_col="vec_id", vector="embedding", text="text", substance="substance", risk="risk")["evidence"]
