@@ -30,6 +30,6 @@ def test_one_row_of_each_text_stays(spark, odd_docs, no_docs):
 
 
 def test_many_groups_are_joined_by_shuffle(spark, odd_docs, monkeypatch):
-    monkeypatch.setattr("tidemark.llm.exact_dedup.MOST", 0)
+    monkeypatch.setattr("tidemark.llm.common.BROADCAST_BYTES", -1)
     got = duplicate_groups(odd_docs).collect()
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == brute(TEXTS, max)

@@ -7,7 +7,7 @@ import pytest
 
 from tests.llm.conftest import TEXTS
 from tidemark.llm.components import UnionFind, connected_components
-from tidemark.llm.near_dedup import band_keys, drop_near_duplicates, near_duplicates, shingle_set, super_minhash
+from tidemark.llm.near_dedup import Index, band_keys, drop_near_duplicates, near_duplicates, shingle_set, super_minhash
 from tidemark.llm.queries import op2_near_dedup
 
 SF = "/root/testdata/sf0.01"
@@ -95,11 +95,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 3, 4, 5, 6, 6, 7, 8, 9, 10, None])
 
 
-@pytest.mark.parametrize("blocks", [(4096, 256), (16, 8)])
+@pytest.mark.parametrize("blocks", [(1 << 16, 1 << 19, 64, 1 << 30), (512, 256, 6, -1)])
 def test_large_group_of_near_copies(spark, monkeypatch, blocks):
-    """Copies of one text with many edits: many links, and many pairs just below the threshold."""
+    """Copies of one text with many edits: many links, and many pairs just below the threshold. Once with the real
+    bounds, and once with so low ones that there are several passes, many blocks and no broadcast."""
     monkeypatch.setattr("tidemark.llm.near_dedup.MEMBERS", blocks[0])
     monkeypatch.setattr("tidemark.llm.near_dedup.QUERIES", blocks[1])
+    monkeypatch.setattr("tidemark.llm.near_dedup.FIRST_QUERIES", blocks[2])
+    monkeypatch.setattr("tidemark.llm.common.BROADCAST_BYTES", blocks[3])
     rng = random.Random(3)
     base = [f"w{rng.randint(0, 400)}" for _ in range(90)]
     rows = []
@@ -113,6 +116,33 @@ def test_large_group_of_near_copies(spark, monkeypatch, blocks):
     assert result(near_duplicates(docs, words=2)) == brute(rows, 2)
 
 
+def test_index_tells_what_is_linked():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 60).astype(np.uint64)
+    held = [np.unique(rng.choice(pool, n)) for n in (1, 3, 20, 40, 80, 200)]
+    index = Index(held)
+    for n in (1, 2, 10, 40, 100, 300):
+        s = np.unique(rng.choice(pool, n))
+        for percent in (1, 50, 80, 100):
+            common = [len(np.intersect1d(h, s)) for h in held]
+            assert index.linked(s, percent).tolist() == [k for k, c in enumerate(common) if 100 * c >= percent * (len(held[k]) + len(s) - c)]
+
+
+def test_only_what_the_result_reads_stays(spark, tmp_path):
+    """The files of all other intermediate tables are deleted."""
+    sc = spark.sparkContext
+    before = sc.getCheckpointDir()
+    sc.setCheckpointDir(str(tmp_path))
+    try:
+        docs = spark.createDataFrame([(i, f"a b c d e f g h i {i % 7}") for i in range(60)], "doc_id long, text string")
+        got = near_duplicates(docs, words=2)
+        files = [p for p in tmp_path.glob("*/rdd-*") if p.is_dir()]
+        assert len(files) == 2 and got.count() == 60
+    finally:
+        if before:
+            sc._jsc.sc().setCheckpointDir(before)
+
+
 def test_query_over_the_whole_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = op2_near_dedup(spark, SF)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but space and the control characters tab to carriage return.
 #: ``bytes.split()`` cuts at exactly these six bytes, so UTF-8 bytes give the same words.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: More rows than this are never broadcast; the caller then joins by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A table of more bytes than this is never broadcast; nor is a sample whose documented bound is more rows than that.
+BROADCAST_BYTES, BROADCAST_ROWS = 48 << 20, 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,17 +27,44 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder the cluster names."""
+    """Cuts the lineage with a reliable checkpoint in the folder the cluster names.
+
+    Only a session on one machine (a local master) that names none gets a temporary folder; elsewhere it is an error,
+    for executors could not read what others wrote there.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit; else as it is, to be shuffled."""
-    return F.broadcast(df) if rows <= limit else df
+def forget(*frames: DataFrame) -> None:
+    """Deletes the files of checkpointed frames. Call it when all that was made of them is checkpointed itself."""
+    for df in frames:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def bytes_of(df: DataFrame) -> int:
+    """About the bytes of a table: its strings and binaries as measured, 16 for each other cell."""
+    wide = [F.sum(F.octet_length(f.name)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    rows, *sums = df.agg(F.count(F.lit(1)), *wide).first()
+    return 16 * rows * len(df.columns) + sum(x or 0 for x in sums)
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it is proven small; else as it is, to be joined by shuffle.
+
+    A bounded sample passes its greatest number of rows. All other tables are measured, so they ought to be
+    checkpointed ones.
+    """
+    fits = bytes_of(df) <= BROADCAST_BYTES if rows is None else rows <= BROADCAST_ROWS
+    return F.broadcast(df) if fits else df
 
 
 #: Bytes of an Arrow batch that goes to Python: two workers an executor hold a few of these each.
@@ -44,8 +73,14 @@ ARROW_BYTES = 16 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """Gets a table ready for Python: bounds its batches by bytes, and deals one of fewer partitions than cores
-    over all cores; larger tables stay as they are."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    over all cores; larger tables stay as they are.
+
+    The bound is a setting of the session, which plans read when they run, so it stays set; one that the session
+    has set lower itself is left alone.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(name)) > ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

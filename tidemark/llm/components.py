@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, mapped
+from tidemark.llm.common import checkpointed, forget, mapped
 
 #: Edges that one task may take into its union-find; with more, tasks contract their parts and stars do the rest.
 ONE_TASK_EDGES = 200_000
@@ -74,12 +74,16 @@ def connected_components(edges: DataFrame, *, one_task: int = ONE_TASK_EDGES) ->
     edges = checkpointed(edges.select("a", "b").where("a <> b"))
     n = edges.count()
     if n <= one_task:
-        return checkpointed(_contracted(edges.repartition(1)))
-    edges = checkpointed(_contracted(edges))
+        out = checkpointed(_contracted(edges.repartition(1)))
+        forget(edges)
+        return out
+    edges, old = checkpointed(_contracted(edges)), edges
     mark = None
     while True:
-        edges = checkpointed(_small_star(_large_star(edges)))
+        forget(old)
+        edges, old = checkpointed(_small_star(_large_star(edges))), edges
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
+            forget(old)
             return edges
         mark = now

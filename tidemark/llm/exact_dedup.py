@@ -15,9 +15,6 @@ from tidemark.llm.common import checkpointed, small, text_or_empty
 
 HASH, ID, TEXT = "__dup_hash", "__dup_id", "__dup_text"
 
-#: Groups of two or more rows that are broadcast at most (some 100 bytes each); more are joined by shuffle.
-MOST = 500_000
-
 
 def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
@@ -39,16 +36,14 @@ def _marked(docs: DataFrame, *, keep: str = "largest", id_col: str = "doc_id", t
     text = text_or_empty(text_col)
     rows = docs.select(hash_of(text).alias(HASH), F.col(id_col).alias(ID))
     groups = checkpointed(_groups(rows, HASH, keep=keep).where(F.col(SIZE) > 1))
-    n_groups = groups.count()
-    texts = docs.select(hash_of(text).alias(HASH), text.alias(TEXT)).join(small(groups.select(HASH), n_groups, MOST), HASH, "left_semi")
+    texts = docs.select(hash_of(text).alias(HASH), text.alias(TEXT)).join(small(groups.select(HASH)), HASH, "left_semi")
     collided = checkpointed(texts.groupBy(HASH, TEXT).count().groupBy(HASH).count().where("count > 1").select(HASH))
-    n_collided = collided.count()
 
     hashed = docs.withColumn(HASH, hash_of(text))
-    if not n_collided:
-        return _joined(hashed, small(groups, n_groups, MOST), [HASH], id_col)
-    collided = small(collided, n_collided, MOST)
-    clean = _joined(hashed.join(collided, HASH, "left_anti"), small(groups, n_groups, MOST), [HASH], id_col)
+    if collided.isEmpty():
+        return _joined(hashed, small(groups), [HASH], id_col)
+    collided = small(collided)
+    clean = _joined(hashed.join(collided, HASH, "left_anti"), small(groups), [HASH], id_col)
     mixed = hashed.join(collided, HASH, "left_semi").withColumn(TEXT, text)
     by_text = _groups(mixed.select(HASH, TEXT, F.col(id_col).alias(ID)), HASH, TEXT, keep=keep)
     return clean.unionByName(_joined(mixed, by_text, [HASH, TEXT], id_col).drop(TEXT))

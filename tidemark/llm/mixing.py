@@ -75,10 +75,9 @@ def _planned(docs: DataFrame, *, cycle: int = 3, cap: int = 3, seed: str = "mix"
     sized = docs.withColumns({SIZE: words_in(text_col), KEY: F.col(source_col)})
     targets = checkpointed(source_targets(sized.select(KEY, SIZE), cycle=cycle, cap=cap))
     targets = targets.select(F.col(KEY).alias("__mix_key"), F.col("source_size").alias("__mix_total"), F.col("target").alias("__mix_target"), F.col("rate").alias("__mix_rate"))
-    n_sources = targets.count()
     whole = F.floor("__mix_rate")
     fraction = F.col("__mix_rate") - whole
-    met = lambda sources: sized.join(small(sources, n_sources), F.col(KEY).eqNullSafe(F.col("__mix_key")), "left")
+    met = lambda sources: sized.join(small(sources), F.col(KEY).eqNullSafe(F.col("__mix_key")), "left")
     taken = [F.sum(F.when(draw(id_col, seed, F.lit(k)) < fraction, F.col(SIZE)).otherwise(0)).alias(f"__mix_{k}") for k in range(tries)]
     sums = met(targets).groupBy("__mix_key").agg(*taken).withColumnRenamed("__mix_key", "__mix_same")
     off = lambda k: F.abs(F.col("__mix_total") * whole + F.col(f"__mix_{k}") - F.col("__mix_target"))

@@ -6,16 +6,19 @@
 2. Rows with one set are a class. All that follows works on classes, so copies cost nothing more.
 3. Registers go into bands. Classes that share a band form a bucket, and each is paired with the bucket's hub, its
    smallest member: the pairs are linear in the rows.
-4. Pairs are verified on full sets, and links go through union-find.
+4. Pairs are verified on full sets, and links go through union-find: first each class with the hub that it shares
+   most bands with, then the pairs that this has not connected.
 5. Members of one hub that are still in different components have not all met. Those outside the hub's largest
-   component are the queries of a second pass: in blocks, against all members of that hub. So every pair that
-   shares a band is either compared or already connected, without all pairs of a group ever being made.
+   component are the queries of further passes: in blocks, against the hub's members of about their size, for sets
+   of other sizes cannot be similar enough. A pass takes a few queries of each hub, the next one eight times as many
+   of those that are then still outside, until none is left. So every pair that shares a band is either compared or
+   already connected, without all pairs of a group ever being made.
 """
 
 from __future__ import annotations
 
 import hashlib
-
+import math
 
 import numpy as np
 import xxhash
@@ -23,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cells, checkpointed, mapped, small, spread
+from tidemark.llm.common import cells, checkpointed, forget, mapped, small, spread
 from tidemark.llm.components import connected_components
 
 #: With 48 bands of 6, a pair at a similarity of 0.8 shares none with a probability of (1 - 0.8**6)**48 < 1e-6, and
 #: one at 0.1 shares any with one below 5e-5.
 BANDS, ROWS = 48, 6
-#: Members of a hub that one task compares, and queries of a block.
-MEMBERS, QUERIES = 512, 256
+#: Elements of the queries of a block, and the least number of elements of the members that one task compares with them.
+QUERIES, MEMBERS = 1 << 19, 1 << 16
+#: Queries that the first of the further passes takes from a hub.
+FIRST_QUERIES = 64
 #: Elements that are sketched at once.
 BATCH_ELEMENTS = 1 << 16
 
@@ -158,22 +163,49 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col
             sets = [shingle_set(text, words) for (text,) in cells([batch], text_col)]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "shingles"])
 
-    rows = docs.select(F.col(id_col).alias("id"), text_col).join(small(ids, ids.count()), "id", "left_semi")
+    rows = docs.select(F.col(id_col).alias("id"), text_col).join(small(ids), "id", "left_semi")
     return mapped(rows, run, "fp binary, shingles binary").dropDuplicates(["fp"])
 
 
+class Index:
+    """Sets by their elements, to be compared with one set at a time."""
+
+    def __init__(self, held: list[np.ndarray]):
+        values = np.concatenate(held)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner, self.sizes = values[order], np.repeat(np.arange(len(held)), [len(h) for h in held])[order], np.array([len(h) for h in held])
+        slots = 1 << min((16 * len(values)).bit_length(), 23)
+        self.last, self.present = U(slots - 1), np.zeros(slots, bool)
+        self.present[values & self.last] = True
+
+    def linked(self, s: np.ndarray, percent: int) -> np.ndarray:
+        """The places of the sets that s is linked with. A set of which too few elements occur at all is told at once."""
+        some = s[self.present[s & self.last]]
+        if 100 * len(some) < percent * len(s):
+            return np.empty(0, np.int64)
+        low, high = np.searchsorted(self.values, some, "left"), np.searchsorted(self.values, some, "right")
+        many = high - low
+        at = np.repeat(low - np.concatenate([[0], many.cumsum()[:-1]]), many) + np.arange(many.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero(100 * common >= percent * (self.sizes + len(s) - common))
+
+
+BLOCK = ["block", "size", "chunk"]
+
+
 def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the queries with the members of the same block, both (block, chunk, fp), by full sets.
+    """Links (a, b) of the queries with the members of the same block, both (BLOCK, fp, n), by full sets of n elements.
 
-    A block's members are dealt over tasks by a salt; its queries, few by construction, go to each. Rows arrive
-    sorted, queries first, so that a task holds the queries of one block and one member at a time.
+    A block's members are dealt over tasks by a salt, in parts of about as many elements as its queries have; the
+    queries go to each. Rows arrive sorted, queries first, so that a task holds the queries of one block and one
+    member at a time.
     """
-    counts = members.groupBy("block", "chunk").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
-    counts = checkpointed(counts)
-    counts = small(counts, counts.count())
-    asked = queries.join(counts, ["block", "chunk"]).select("block", "chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "fp")
-    dealt = members.join(counts, ["block", "chunk"]).select("block", "chunk", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "fp")
-    rows = asked.unionByName(dealt).join(sets, "fp").repartition("block", "chunk", "salt").sortWithinPartitions("block", "chunk", "salt", "role")
+    load = queries.groupBy(*BLOCK).agg(F.greatest(F.sum("n"), F.lit(MEMBERS)).alias("load"))
+    counts = checkpointed(members.groupBy(*BLOCK).agg(F.sum("n").alias("all")).join(load, BLOCK).select(*BLOCK, F.ceil(F.col("all") / F.col("load")).cast("int").alias("salts")))
+    hinted = small(counts)
+    asked = queries.join(hinted, BLOCK).select(*BLOCK, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "fp")
+    dealt = members.join(hinted, BLOCK).select(*BLOCK, F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "fp")
+    rows = asked.unionByName(dealt).join(sets, "fp").repartition(*BLOCK, "salt").sortWithinPartitions(*BLOCK, "salt", "role")
 
     def run(batches):
         import pyarrow as pa
@@ -181,9 +213,9 @@ def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: i
         here, names, held, index = None, [], [], None
         for batch in batches:
             out = []
-            for block, chunk, salt, role, fp, raw in cells([batch], "block", "chunk", "salt", "role", "fp", "shingles"):
-                if (block, chunk, salt) != here:
-                    here, names, held, index = (block, chunk, salt), [], [], None
+            for *at, role, fp, raw in cells([batch], *BLOCK, "salt", "role", "fp", "shingles"):
+                if at != here:
+                    here, names, held, index = at, [], [], None
                 s = np.frombuffer(raw, U)
                 if not role:
                     names.append(fp)
@@ -192,22 +224,14 @@ def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: i
                 if not names:
                     continue
                 if index is None:
-                    owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
-                    values = np.concatenate(held)
-                    order = np.argsort(values, kind="stable")
-                    index = values[order], owner[order], np.array([len(h) for h in held])
-                values, owner, sizes = index
-                low, high = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-                many = high - low
-                at = np.repeat(low - np.concatenate([[0], many.cumsum()[:-1]]), many) + np.arange(many.sum())
-                common = np.bincount(owner[at], minlength=len(sizes))
-                for k in np.flatnonzero(100 * common >= percent * (sizes + len(s) - common)):
-                    if names[k] != fp:
-                        out.append((names[k], fp))
+                    index = Index(held)
+                out += [(names[k], fp) for k in index.linked(s, percent) if names[k] != fp]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
 
-    return mapped(rows, run, "a binary, b binary")
+    links = checkpointed(mapped(rows, run, "a binary, b binary"))
+    forget(counts)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,47 +244,101 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     its set has an id. Other columns are ignored. An empty table gives an empty one.
     """
     rows = checkpointed(sketches(docs, words, id_col, text_col))
-    classes = rows.where(F.col("fp").isNotNull()).groupBy("fp", "bands").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = rows.where(F.col("fp").isNotNull()).groupBy("fp", "n_shingles", "bands").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = checkpointed(classes)
     banded = classes.where(F.col("rep").isNotNull()).select("fp", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    pairs = checkpointed(banded.join(hubs, "key").where("fp <> hub").select("hub", "fp").distinct())
+    hubs = checkpointed(banded.groupBy("key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"))
+    pairs = checkpointed(banded.join(small(hubs), "key").where("fp <> hub").groupBy("hub", "fp").agg(F.count(F.lit(1)).alias("shared")))
 
     involved = pairs.select("fp").union(pairs.select("hub")).distinct()
-    ids = checkpointed(classes.join(involved, "fp", "left_semi").select(F.col("rep").alias("id")).distinct())
-    sets = checkpointed(full_sets(docs, ids, words, id_col, text_col))
-
-    star = pairs.select(F.col("hub").alias("block"), F.lit(0).alias("chunk"), "fp")
-    centre = pairs.select("hub").distinct().select(F.col("hub").alias("block"), F.lit(0).alias("chunk"), F.col("hub").alias("fp"))
-    linked = connected_components(verified(centre, star, sets, percent))
-    queries, members = _unmet(pairs, linked)
-    if not queries.isEmpty():
-        linked = connected_components(linked.unionByName(verified(queries, members, sets, percent)))
+    known = checkpointed(classes.join(involved, "fp", "left_semi").select("fp", F.col("n_shingles").alias("n"), "rep"))
+    sets = checkpointed(full_sets(docs, known.select(F.col("rep").alias("id")).distinct(), words, id_col, text_col))
+    sized = checkpointed(pairs.join(small(known.select("fp", "n")), "fp"))
+    linked = _linked(sized, known, sets, percent)
 
     roots = linked.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(linked.select("b", "b").distinct())
     reps = classes.select("fp", "rep", "copies").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = reps.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("__n")).where(F.col("__n") > 1).drop("__n")
     groups = checkpointed(groups)
-    found = checkpointed(reps.join(small(groups, groups.count()), "root").select("fp", "component_id"))
-    out = rows.select("id", "n_shingles", "fp").join(small(found, found.count()), "fp", "left")
+    found = checkpointed(reps.join(small(groups), "root").select("fp", "component_id"))
+    out = rows.select("id", "n_shingles", "fp").join(small(found), "fp", "left")
+    forget(classes, hubs, pairs, known, sets, sized, linked, groups)
     # A row whose set no other has is alone, whatever its id.
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _unmet(pairs: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries and members of the second pass: of each hub whose members lie in several components, those outside
-    the largest of them, in chunks, and all members for each chunk."""
-    placed = pairs.join(linked.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("hub", "fp", F.coalesce("root", "fp").alias("root"))
-    sizes = placed.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.groupBy("hub").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
-    most = most.where(F.col("all") > F.col("most.n"))
-    chunks = most.select("hub", F.col("most.root").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / QUERIES).cast("int").alias("chunks"))
+def _linked(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The components (see connected_components) of the links among the members of each hub and the hub itself, from
+    pairs (hub, fp, shared, n)."""
+    none = pairs.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+
+    def joined(linked: DataFrame, links: DataFrame) -> DataFrame:
+        out = connected_components(linked.unionByName(links))
+        forget(links)
+        return out
+
+    def met(some: DataFrame, linked: DataFrame) -> DataFrame:
+        star = some.select(F.col("hub").alias("block"), F.lit(0).alias("size"), F.lit(0).alias("chunk"), "fp", "n")
+        centre = some.select(F.col("hub").alias("fp")).distinct().join(small(known.select("fp", "n")), "fp")
+        centre = centre.select(F.col("fp").alias("block"), F.lit(0).alias("size"), F.lit(0).alias("chunk"), "fp", "n")
+        return joined(linked, verified(centre, star, sets, percent))
+
+    first = checkpointed(pairs.groupBy("fp", "n").agg(F.max(F.struct("shared", "hub")).alias("best")).select("fp", "n", "best.hub"))
+    linked = met(first, none)
+    rest = checkpointed(_rooted(_rooted(pairs, linked, "hub", "hub_root"), linked, "fp", "root").where("root <> hub_root").join(first, ["hub", "fp"], "left_anti"))
+    if not rest.isEmpty():
+        linked, old = met(rest, linked), linked
+        forget(old)
+    forget(first, rest)
+
+    asked, ask = [], FIRST_QUERIES
+    while True:
+        placed = checkpointed(_rooted(pairs, linked, "fp", "root").select("hub", "fp", "n", "root"))
+        queries, members, scratch = _unmet(placed, asked, ask, percent)
+        if queries is None:
+            forget(*scratch, *asked)
+            return linked
+        linked, old = joined(linked, verified(queries, members, sets, percent)), linked
+        forget(*scratch, old)
+        ask *= 8
+
+
+def _rooted(rows: DataFrame, linked: DataFrame, col: str, name: str) -> DataFrame:
+    """rows with the root of a column's class, itself if it is not linked or the smallest."""
+    roots = linked.select(F.col("a").alias(col), F.col("b").alias("__root"))
+    return rows.join(small(roots), col, "left").withColumn(name, F.coalesce("__root", col)).drop("__root")
+
+
+def _unmet(placed: DataFrame, asked: list[DataFrame], ask: int, percent: int) -> tuple[DataFrame | None, DataFrame | None, list[DataFrame]]:
+    """Queries and members of a further pass, both (BLOCK, fp, n): of each hub whose members lie in several
+    components, about ask of those outside the largest one that no pass has asked before, and the members of about
+    the same size. None if nothing is left to ask. asked gets the new queries; the list names what may be forgotten
+    after the pass."""
+    sizes = placed.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("many"))
+    most = sizes.groupBy("hub").agg(F.max(F.struct("many", "root")).alias("most"), F.sum("many").alias("all"))
+    split = checkpointed(most.where(F.col("all") > F.col("most.many")).select("hub", F.col("most.root").alias("main")))
+    both = placed.join(small(split), "hub")
+    open_ = both.where("root <> main").select("hub", "fp", "n")
+    for done in asked:
+        open_ = open_.join(done.select("hub", "fp"), ["hub", "fp"], "left_anti")
+    open_ = checkpointed(open_)
+    if open_.isEmpty():
+        return None, None, [placed, split, open_]
+    totals = open_.groupBy("hub").agg(F.count(F.lit(1)).alias("left"))
+    drawn = F.pmod(F.xxhash64("fp", F.lit(ask)), F.col("left")) < ask
+    taken = checkpointed(open_.join(totals, "hub").where(drawn).select("hub", "fp", "n"))
+    asked.append(taken)
+    # Linked sets differ in size by a factor of 100 / percent at most, so by one class at most.
+    size = F.floor(F.log("n") / math.log(100 / percent * (1 + 1e-9))).cast("long")
+    near = taken.select(F.col("hub").alias("block"), F.explode(F.sequence(size - 1, size + 1)).alias("size"), "fp", "n")
+    chunks = near.groupBy("block", "size").agg(F.ceil(F.sum("n") / QUERIES).cast("int").alias("chunks"))
     chunks = checkpointed(chunks)
-    both = checkpointed(placed.join(small(chunks, chunks.count()), "hub"))
-    queries = both.where("root <> main").select(F.col("hub").alias("block"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), "fp")
-    members = both.select(F.col("hub").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "fp")
-    return queries, members
+    scratch = [placed, split, open_, chunks]
+    chunks = small(chunks)
+    queries = near.join(chunks, ["block", "size"]).select("block", "size", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), "fp", "n")
+    members = both.select(F.col("hub").alias("block"), size.alias("size"), "fp", "n").join(chunks, ["block", "size"])
+    return queries, members.select("block", "size", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "fp", "n"), scratch
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
@@ -270,4 +348,4 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options)
     by broadcast if they are counted and few, else by a shuffle.
     """
     gone = checkpointed(near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col(id_col).alias("__nd_id")).where(F.col("__nd_id").isNotNull()).distinct())
-    return docs.join(small(gone, gone.count()), F.col(id_col) == F.col("__nd_id"), "left_anti")
+    return docs.join(small(gone), F.col(id_col) == F.col("__nd_id"), "left_anti")
