@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A table of more bytes than this is never broadcast; nor is a sample whose documented bound is more rows than that.
-BROADCAST_BYTES, BROADCAST_ROWS = 48 << 20, 100_000
+BROADCAST_BYTES, BROADCAST_ROWS = 24 << 20, 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

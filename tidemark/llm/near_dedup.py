@@ -33,7 +33,7 @@ from tidemark.llm.components import connected_components
 #: one at 0.1 shares any with one below 5e-5.
 BANDS, ROWS = 48, 6
 #: Elements of the queries of a block, and the least number of elements of the members that one task compares with them.
-QUERIES, MEMBERS = 1 << 19, 1 << 16
+QUERIES, MEMBERS = 1 << 19, 1 << 14
 #: Queries that the first of the further passes takes from a hub.
 FIRST_QUERIES = 64
 #: Elements that are sketched at once.
@@ -154,7 +154,8 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(fp, shingles) of the rows whose id is in ids (id), one row a set."""
+    """(fp, shingles) of the rows whose id is in ids (id), one row a set, checkpointed. Sets are shuffled only if rows
+    of one id have the same set."""
 
     def run(batches):
         import pyarrow as pa
@@ -164,7 +165,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_col).join(small(ids), "id", "left_semi")
-    return mapped(rows, run, "fp binary, shingles binary").dropDuplicates(["fp"])
+    sets = checkpointed(mapped(rows, run, "fp binary, shingles binary"))
+    if sets.groupBy("fp").count().where("count > 1").isEmpty():
+        return sets
+    once = checkpointed(sets.dropDuplicates(["fp"]))
+    forget(sets)
+    return once
 
 
 class Index:
@@ -205,7 +211,8 @@ def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: i
     hinted = small(counts)
     asked = queries.join(hinted, BLOCK).select(*BLOCK, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "fp")
     dealt = members.join(hinted, BLOCK).select(*BLOCK, F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "fp")
-    rows = asked.unionByName(dealt).join(sets, "fp").repartition(*BLOCK, "salt").sortWithinPartitions(*BLOCK, "salt", "role")
+    places = checkpointed(asked.unionByName(dealt))
+    rows = sets.join(small(places), "fp").repartition(*BLOCK, "salt").sortWithinPartitions(*BLOCK, "salt", "role")
 
     def run(batches):
         import pyarrow as pa
@@ -230,7 +237,7 @@ def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: i
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
 
     links = checkpointed(mapped(rows, run, "a binary, b binary"))
-    forget(counts)
+    forget(counts, places)
     return links
 
 
@@ -252,7 +259,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
 
     involved = pairs.select("fp").union(pairs.select("hub")).distinct()
     known = checkpointed(classes.join(involved, "fp", "left_semi").select("fp", F.col("n_shingles").alias("n"), "rep"))
-    sets = checkpointed(full_sets(docs, known.select(F.col("rep").alias("id")).distinct(), words, id_col, text_col))
+    sets = full_sets(docs, known.select(F.col("rep").alias("id")).distinct(), words, id_col, text_col)
     sized = checkpointed(pairs.join(small(known.select("fp", "n")), "fp"))
     linked = _linked(sized, known, sets, percent)
 
