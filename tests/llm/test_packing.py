@@ -86,3 +86,25 @@ def test_query_over_the_whole_table(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()]
     rows = op1_packing(spark, f"/root/testdata/{sf}").collect()
     check([(r["doc_id"], r["start"], r["length"], r["doc_tokens"], r["sequence_id"], r["offset"], r["ids_crc32"]) for r in rows], docs)
+
+
+def test_only_tails_of_documents_wait():
+    """Documents one token longer than a window: the pool bounds what waits, and it is tails, not documents."""
+    packer, most = SlackPacker(64, 1 << 20, 100), 0
+    pieces = []
+    for k in range(5000):
+        for s in packer.add(k, 65):
+            pieces += s
+        most = max(most, packer.pieces)
+    for s in packer.finish():
+        pieces += s
+    assert most <= 101 and sum(p[2] for p in pieces) == 5000 * 65
+
+
+def test_tails_keep_their_place(spark):
+    """Documents of 4,097 tokens, whose windows go out at once and whose last tokens wait."""
+    rows = [(i, "a " * 4096) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = pack_documents(docs, tokenizer_json()).selectExpr("doc_id", "start", "length", "sequence_id", "offset", "octet_length(ids) AS n").collect()
+    assert Counter(r["doc_id"] for r in got) >= Counter(range(4000)) and all(r["n"] == 4 * r["length"] for r in got)
+    assert sum(r["length"] for r in got) == 4000 * 4097

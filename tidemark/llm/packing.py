@@ -1,8 +1,8 @@
 """Packing of token streams into fixed windows by minimum bin slack.
 
 Each task tokenises its documents as a stream and packs them from a bounded pool, so nothing is shuffled
-and memory doesn't depend on the input. A document's whole windows go out at once; what remains of it waits
-in the pool as one piece. A window takes the longest waiting piece, and a dynamic programme over a bitset of
+and memory doesn't depend on the number of documents. A document's whole windows go out at once; what remains of it
+waits in the pool as one piece, and only that part of its tokens is kept. The pool is bounded by tokens and by pieces. A window takes the longest waiting piece, and a dynamic programme over a bitset of
 reachable lengths picks the multiset of further pieces that comes closest to the capacity. A piece is cut
 only where that still leaves slack, and at the end of a partition, where the last tokens go into sequences
 whose lengths are powers of two. No sequence is padded.
@@ -146,16 +146,17 @@ def chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
 class SlackPacker:
     """Packs (key, length) into sequences of at most capacity; see the module's text."""
 
-    def __init__(self, capacity: int, pool_tokens: int):
-        self.capacity, self.pool_tokens = capacity, max(pool_tokens, 2 * capacity)
+    def __init__(self, capacity: int, pool_tokens: int, pool_pieces: int = 1 << 15):
+        self.capacity, self.pool_tokens, self.pool_pieces = capacity, max(pool_tokens, 2 * capacity), pool_pieces
         self.waiting: dict[int, deque] = {}
         self.present = 0  # bit n: pieces of length n wait
-        self.tokens = 0
+        self.tokens = self.pieces = 0
 
     def _put(self, key, start: int, length: int) -> None:
         self.waiting.setdefault(length, deque()).append((key, start))
         self.present |= 1 << length
         self.tokens += length
+        self.pieces += 1
 
     def _take(self, length: int) -> tuple:
         pieces = self.waiting[length]
@@ -164,6 +165,7 @@ class SlackPacker:
             del self.waiting[length]
             self.present ^= 1 << length
         self.tokens -= length
+        self.pieces -= 1
         return key, start, length
 
     def add(self, key, length: int) -> Iterator[list[tuple]]:
@@ -176,6 +178,9 @@ class SlackPacker:
         if self.tokens > self.pool_tokens:
             while self.tokens > self.pool_tokens // 2:
                 yield self._fill()
+        if self.pieces > self.pool_pieces:
+            while self.pieces > self.pool_pieces // 2 and self.tokens >= self.capacity:
+                yield self._fill()
 
     def _fill(self) -> list[tuple]:
         """One full sequence; at least capacity tokens wait."""
@@ -278,7 +283,7 @@ def pack_documents(
             offset = 0
             for key, start, length in sequence:
                 doc = held[key]
-                rows.append((doc[0], start, length, doc[2], number, offset, doc[1][4 * start : 4 * (start + length)]))
+                rows.append((doc[0], start, length, doc[2], number, offset, doc[1][4 * (start - doc[4]) : 4 * (start - doc[4] + length)]))
                 offset += length
                 size += 4 * length
                 doc[3] -= length
@@ -302,11 +307,14 @@ def pack_documents(
         for key, (doc_id, text) in enumerate(stream()):
             tokens = words.of(text or "") + end
             n = len(tokens) // 4
-            held[key] = [doc_id, tokens, n, n]
+            held[key] = [doc_id, tokens, n, n, 0]
             for sequence in packer.add(key, n):
                 placed(sequence)
                 if len(rows) >= OUT_ROWS or size >= OUT_BYTES:
                     yield flushed()
+            if key in held and n > capacity:  # its whole windows have gone out; what waits is its tail
+                first = n - n % capacity
+                held[key][1], held[key][4] = tokens[4 * first :], first
         for sequence in packer.finish():
             placed(sequence)
             if len(rows) >= OUT_ROWS or size >= OUT_BYTES:
