@@ -55,3 +55,56 @@ def test_query_over_the_whole_table(spark):
         plain = " ".join(re.findall(r"[^\W_]+", t.lower()))
         for sentence, licence in (("licensed under the apache license version 2 0", "Apache-2.0"), ("released under the mit license", "MIT"), ("licensed under cc by nc 4 0", "CC-BY-NC-4.0"), ("this work is licensed under the gnu general public license version 3", "GPL-3.0-only")):
             assert (licence in rows[i]["licenses"].split(",")) == (sentence in plain)
+
+
+def plain_matches(found, rules, gap):
+    """The rules one after the other, each from every place, with a scan for each identifier that follows."""
+    used, out = set(), []
+    for licence, wanted in rules:
+        for k, first in enumerate(found):
+            if k in used or first[3] != wanted[0]:
+                continue
+            taken = [k]
+            for name in wanted[1:]:
+                nxt = next((j for j in range(taken[-1] + 1, len(found)) if j not in used and found[j][3] == name), None)
+                if nxt is None or found[nxt][0] - found[taken[-1]][4] - 1 > gap:
+                    break
+                taken.append(nxt)
+            if len(taken) == len(wanted):
+                used.update(taken)
+                out.append((first[1], found[taken[-1]][2], licence, "+".join(wanted)))
+    return sorted(out)
+
+
+def test_matches_equal_the_plain_ones():
+    import random
+
+    rng = random.Random(8)
+    names_ = ["MIT-GRANT", "MIT-NOTICE", "AS-IS-MIT", "BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-NAMES", "GPL-HOPE", "GPL-2-PLUS"]
+    for _ in range(400):
+        found, number = [], 0
+        for k in range(rng.randint(0, 25)):
+            number += rng.choice([0, 1, 1, 1, 2, 5])
+            found.append((number, 10 * k, 10 * k + 9, rng.choice(names_), number + rng.choice([0, 0, 1])))
+            number = found[-1][4]
+        assert R.matches(found) == plain_matches(found, RULES, R.gap)
+
+
+def test_sentences_between_are_counted():
+    """Up to GAP sentences with words may stand between; empty lines and further marks are none."""
+    for between, one in ((0, True), (3, True), (4, False)):
+        text = SENTENCES["MIT-GRANT"] + ":\n\n" + "Some words here.\n\n ... \n\n" * between + SENTENCES["MIT-NOTICE"] + "."
+        assert ("MIT-GRANT+MIT-NOTICE" in [m[3] for m in R.scan(text)]) == one, between
+    inner = "Intro. " + SENTENCES["APACHE-COPY"] + ". Then. Last words of all; " + SENTENCES["PROPRIETARY"]
+    assert [(f[0], f[4]) for f in R.identifiers(inner)] == [(1, 1), (4, 4)]
+
+
+def test_many_licences_in_one_text_cost_no_more_than_their_number():
+    import time
+
+    for sentences in (["MIT-GRANT"], ["MIT-GRANT", "MIT-NOTICE", "AS-IS-MIT"]):
+        text = "".join(SENTENCES[s] + ". " for s in sentences) * (6000 // len(sentences))
+        found = R.identifiers(text)
+        began = time.time()
+        assert len(R.matches(found)) == 6000 // len(sentences)
+        assert time.time() - began < 2

@@ -9,6 +9,7 @@ names a licence. Rules are tried from the most specific to the least, and a sent
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -124,12 +125,13 @@ class Recogniser:
         # A text without any sentence's longest word has no known sentence.
         object.__setattr__(self, "anchors", tuple(sorted({max(normal(t).split(), key=len) for t in self.sentences.values()})))
 
-    def identifiers(self, text: str) -> list[tuple[int, int, int, str]]:
-        """(sentence number, start, end, identifier) of known sentences.
+    def identifiers(self, text: str) -> list[tuple[int, int, int, str, int]]:
+        """(number of the sentence it starts in, start, end, identifier, number of the one it ends in) of known sentences.
 
         A known sentence may stand anywhere within a text's sentence, for the words before it, such as a name or
         a year, differ; it may also run over marks inside it, which the cut into sentences takes for ends. So the
-        words of the whole text are matched, and the sentence number only serves to count what lies between.
+        words of the whole text are matched, and the sentence numbers only serve to count what lies between. Only
+        sentences with a word count.
         """
         low = text.lower()
         if not any(a in low for a in self.anchors):
@@ -137,7 +139,7 @@ class Recogniser:
         tokens = [(m.group(), m.start(), m.end()) for m in WORDS.finditer(low)] if len(low) == len(text) else [(m.group().lower(), m.start(), m.end()) for m in WORDS.finditer(text)]
         words = [t[0] for t in tokens]
         ends = [m.start() for m in ENDS.finditer(text)]
-        out, at, number = [], 0, 0
+        out, at, number, seen, past = [], 0, 0, 0, 0  # number: of the sentence of the last word before seen
         while at < len(words) - 2:
             hit = None
             for known, name in self.starts.get(" ".join(words[at : at + 3]), ()):
@@ -147,32 +149,57 @@ class Recogniser:
             if not hit:
                 at += 1
                 continue
-            start, end = tokens[at][1], tokens[at + hit[0] - 1][2]
-            while number < len(ends) and ends[number] < start:
-                number += 1
-            out.append((number, start, end, hit[1]))
-            while number < len(ends) and ends[number] < end:
-                number += 1
+            numbers = []
+            for place in (at, at + hit[0] - 1):
+                while seen <= place:
+                    ended = past < len(ends) and ends[past] < tokens[seen][1]
+                    while past < len(ends) and ends[past] < tokens[seen][1]:
+                        past += 1
+                    number += ended and seen > 0
+                    seen += 1
+                numbers.append(number)
+            out.append((numbers[0], tokens[at][1], tokens[at + hit[0] - 1][2], hit[1], numbers[1]))
             at += hit[0]
         return out
 
-    def matches(self, found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str, str]]:
-        """(start, end, licence, identifiers joined) of rules that match the sequence, in order of place."""
-        used, out = set(), []
+    def matches(self, found: list[tuple[int, int, int, str, int]]) -> list[tuple[int, int, str, str]]:
+        """(start, end, licence, identifiers joined) of rules that match the sequence, in order of place.
+
+        Each identifier has the list of its places and, for each place, the next one that no rule has used, so that a
+        rule costs no more than the places of its first identifier.
+        """
+        places: dict[str, list[int]] = {}
+        for k, f in enumerate(found):
+            places.setdefault(f[3], []).append(k)
+        unused = {name: list(range(len(p) + 1)) for name, p in places.items()}
+
+        def free(name: str, i: int) -> int:
+            steps, root = unused[name], i
+            while steps[root] != root:
+                root = steps[root]
+            while steps[i] != root:
+                steps[i], i = root, steps[i]
+            return root
+
+        out = []
         for licence, wanted in self.rules:
-            for k, first in enumerate(found):
-                if k in used or first[3] != wanted[0]:
-                    continue
-                taken, last = [k], first
+            if any(name not in places for name in wanted):
+                continue
+            i = free(wanted[0], 0)
+            while i < len(places[wanted[0]]):
+                taken = [(wanted[0], i)]
+                last = places[wanted[0]][i]
                 for name in wanted[1:]:
-                    nxt = next((j for j in range(taken[-1] + 1, len(found)) if j not in used and found[j][3] == name), None)
-                    if nxt is None or found[nxt][0] - last[0] > self.gap + 10:
+                    j = free(name, bisect_right(places[name], last))
+                    if j == len(places[name]) or found[places[name][j]][0] - found[last][4] - 1 > self.gap:
                         break
-                    taken.append(nxt)
-                    last = found[nxt]
+                    last = places[name][j]
+                    taken.append((name, j))
                 if len(taken) == len(wanted):
-                    used.update(taken)
-                    out.append((first[1], last[2], licence, "+".join(wanted)))
+                    for name, j in taken:
+                        unused[name][j] = j + 1
+                    out.append((found[places[wanted[0]][i]][1], found[last][2], licence, "+".join(wanted)))
+                i = free(wanted[0], i + 1)
         return sorted(out)
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, str]]:
@@ -189,8 +216,9 @@ MATCH = T.StructType([T.StructField("start", T.LongType()), T.StructField("end",
 def scan_licenses(docs: DataFrame, *, sentences: dict | None = None, rules: tuple | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and matches (array of start, end, license, rule) for each row of docs.
 
-    Places are code points of the whole text, end exclusive. Null and empty texts have no match; repeated rows
-    get equal results. Other columns are ignored. An empty table gives an empty one.
+    Places are code points of the whole text, end exclusive. At most GAP other sentences stand between two of a
+    rule. Null and empty texts have no match; repeated rows get equal results; of rules that fit one place the first
+    wins. A text costs time linear in its length, but for a logarithm. Other columns are ignored. An empty table gives an empty one.
     """
     recogniser = Recogniser(SENTENCES if sentences is None else sentences, RULES if rules is None else rules)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("matches", T.ArrayType(MATCH))])
