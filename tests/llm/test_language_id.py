@@ -75,3 +75,14 @@ def test_whole_texts_are_learned(spark, monkeypatch):
     monkeypatch.setattr(language_id, "train", lambda texts, targets, languages: seen.extend(texts))
     fit_languages(docs)
     assert {int(count.sum()) for _, count in seen} == {len(subwords(t)) for _, t, _ in rows}
+
+
+def test_any_number_of_languages_is_learned(spark, monkeypatch):
+    seen = Counter()
+    monkeypatch.setattr(language_id, "train", lambda texts, targets, languages: seen.update(languages[k] for k in targets))
+    docs = spark.range(6_000).selectExpr("id AS doc_id", "concat('word ', id) AS text", "concat('l', id % 700) AS lang")
+    fit_languages(docs, sample_rows=300)
+    assert len(seen) == 700 and set(seen.values()) == {1}
+    seen.clear()
+    fit_languages(docs, sample_rows=300, most_languages=10)
+    assert len(seen) == 10

@@ -47,3 +47,16 @@ def test_targets_over_many_sources(spark):
 def test_no_words_at_all(spark):
     docs = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r["target"], r["copies"]) for r in mixing_plan(docs).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_one_try_draws_with_the_probability_of_the_fraction(spark):
+    """Sources of one document each: with one seed a copy is drawn as often as its fraction says."""
+    rows = [(i, "w " * (10 if i % 2 else 30), f"s{i:05d}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing_plan(docs, tries=1).collect()
+    rate = sum(r["target"] / r["source_size"] for r in plan) / len(plan)
+    assert abs(sum(r["copies"] for r in plan) / len(plan) - rate) < 0.03
+    some = [r for r in plan if 0.2 < r["target"] / r["source_size"] % 1 < 0.5]
+    want = sum(r["target"] / r["source_size"] % 1 for r in some) / len(some)
+    got = sum(r["copies"] > int(r["target"] / r["source_size"]) for r in some) / len(some)
+    assert some and abs(got - want) < 0.05

@@ -61,6 +61,27 @@ def test_run_matches_brute_force(spark):
     )
 
 
+def test_each_document_is_scored_once(spark, monkeypatch):
+    """However many jobs the later stages run over what the first one keeps."""
+    seen, kept = spark.sparkContext.accumulator(0), {}
+    first = corpus_pipeline.STAGES[0][1]
+
+    def counted(spark, docs, sf_dir):
+        out = first(spark, docs, sf_dir)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        kept["rows"] = out.count()
+        return out.mapInArrow(count, out.schema)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("toxicity", counted), *corpus_pipeline.STAGES[1:]])
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert seen.value == kept["rows"] > 0
+
+
 def test_stages_written_and_read_again(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, n = docs.columns, docs.count()

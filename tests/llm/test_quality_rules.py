@@ -56,3 +56,9 @@ def test_no_rows_no_labels(spark, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert fit_rules(no_docs, labels) == []
     assert judge_quality(no_docs, [Rule((("n_words", "<=", 3.0),))]).count() == 0
+
+
+def test_columns_with_any_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7)], "doc_id long, text string, __qr_text string, __QR_words int")
+    row = judge_quality(docs, []).first()
+    assert (row["__qr_text"], row["__QR_words"], row["n_words"]) == ("x", 7, 2)

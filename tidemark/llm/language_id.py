@@ -123,24 +123,27 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit_languages(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, most_languages: int = 500, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
+def fit_languages(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, most_languages: int | None = None, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
     """A model from about sample_rows texts with a known language whose fold is not held; None if there are none.
 
     The sample takes equally many texts of each language, or all where it has fewer, picked by the hash of their ids:
-    the ids of each language are counted first (the most_languages most common ones are learned), and each has its
-    own bound, whatever the size of the table and of the others. Whole texts are counted on the executors, in training as
-    in prediction; the driver gets the hashed counts of the sample only.
+    the ids of each language are counted first, and each has its own bound, whatever the size of the table and of the
+    others. With more languages than sample_rows each has one text. All languages are learned, or the most_languages most
+    common ones if that is given. Whole texts are counted on the executors, in training as in prediction; the driver gets
+    the languages and the hashed counts of the sample only. Rows with a null language or id are left out; null and empty
+    texts, and those without a letter, take a place in the sample but teach nothing. Of repeated rows each may be taken.
     """
     taught = docs.where(F.col(lang_col).isNotNull() & (fold(id_col, folds) != held) & F.col(id_col).isNotNull())
     taught = taught.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    counts = {r["l"]: r["n"] for r in taught.groupBy("l").agg(F.count(F.lit(1)).alias("c"), F.approx_count_distinct("i").alias("n")).orderBy(F.desc("c"), "l").limit(most_languages).collect()}
+    common = taught.groupBy("l").agg(F.count(F.lit(1)).alias("c"), F.approx_count_distinct("i").alias("n")).orderBy(F.desc("c"), "l")
+    counts = {r["l"]: r["n"] for r in (common if most_languages is None else common.limit(most_languages)).collect()}
     if not counts:
         return None
     share = sample_rows // len(counts) + 1
     # An even draw by hash that yields a little more than the share of each language, so that little is sorted; then the bound itself.
-    ratio = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, (1.3 * share + SPARE_ROWS) / n)])
+    ratios = docs.sparkSession.createDataFrame([(l, (1.3 * share + SPARE_ROWS) / n) for l, n in counts.items()], "l string, ratio double")
     drawn = F.pmod(F.xxhash64(F.lit("language"), F.col("i")), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    rows = spread(taught.where(drawn < ratio[F.col("l")]).select(stable_order("i", "sample").alias("o"), "l", "t"))
+    rows = spread(taught.join(F.broadcast(ratios), "l").where(drawn < F.col("ratio")).select(stable_order("i", "sample").alias("o"), "l", "t"))
 
     def run(batches):
         import pyarrow as pa

@@ -6,6 +6,11 @@ The rate is the target over the source's words. A document is emitted floor(rate
 number drawn from the hash of a seed and its id lies below the fraction of the rate. Independent draws leave a
 source of few or very uneven documents some percent off its target, so a second aggregate sums the words that each
 of a few seeds would take, and every source keeps the seed that comes nearest. No rows are sorted or shuffled for it.
+
+The choice among seeds is a bias: over a source of many documents a copy still has nearly the probability of the
+fraction, but over a source of a few the choice comes close to rounding its size, so that a document that alone makes up
+its source is repeated if that comes nearer to the target, whatever its fraction. With tries=1 each draw is independent
+and its probability exactly the fraction.
 """
 
 from __future__ import annotations
@@ -91,7 +96,7 @@ def _planned(docs: DataFrame, *, cycle: int = 3, cap: int = 3, seed: str = "mix"
 def mixing_plan(docs: DataFrame, **options) -> DataFrame:
     """docs with four more columns: size, source_size, target (of the source) and copies.
 
-    Options: cycle and cap of the targets, seed, tries, id_col, text_col, source_col. Columns of docs that have the
+    Options: cycle and cap of the targets, seed, tries (seeds that a source chooses from), id_col, text_col, source_col. Columns of docs that have the
     four names are replaced. A null text has size 0. A null source is a source of its own, the last. A null id draws
     as the empty text; repeated rows draw alike. Where no source has words, targets and copies are 0. An empty table
     gives an empty one. No source is moved to one task: sizes are summed on the map side, and the sources join by

@@ -132,7 +132,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE
     """A machine from at most sample_rows labelled rows whose fold is not held, picked by the hash of their ids.
 
     Texts are encoded on the executors; the driver gets hashed features only. Without labels every text scores
-    one half.
+    one half. Labels without an id, a label or a document are left out; null and empty texts count as texts without
+    words; of repeated rows each counts.
     """
     taught = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, folds) != held))
     picked = taught.select(F.col(id_col).alias("__fm_id"), F.col(label_col).cast("int").alias("__fm_label"))

@@ -30,32 +30,35 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     are repeats, and the words they cover are counted once. All of it is array functions within the row, so
     nothing is shuffled. A null text counts as empty and has only zeros.
     """
-    text = F.col("__qr_text")
-    words, lines, grams, found = (F.col(f"__qr_{c}") for c in ("words", "lines", "grams", "found"))
-    out = docs.withColumn("__qr_text", text_or_empty(text_col))
+    P = "__qr_"  # names of what is needed on the way, none of them a column of docs
+    while any(c.lower().startswith(P) for c in docs.columns):
+        P = "_" + P
+    text = F.col(P + "text")
+    words, lines, grams, found = (F.col(P + c) for c in ("words", "lines", "grams", "found"))
+    out = docs.withColumn(P + "text", text_or_empty(text_col))
     out = out.withColumns(
         {
-            "__qr_words": F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""),
-            "__qr_lines": F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, " \t\x0b\x0c\r", "")) > 0),
+            P + "words": F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""),
+            P + "lines": F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, " \t\x0b\x0c\r", "")) > 0),
             "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
             "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
-            "__qr_upper": F.regexp_count(text, F.lit("[A-Z]")),
-            "__qr_marks": F.regexp_count(text, F.lit("[!?]")),
+            P + "upper": F.regexp_count(text, F.lit("[A-Z]")),
+            P + "marks": F.regexp_count(text, F.lit("[!?]")),
         }
     )
     gram = lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
     out = out.withColumns(
         {
             "n_words": F.size(words).cast("long"),
-            "__qr_n_lines": F.size(lines),
+            P + "n_lines": F.size(lines),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "__qr_distinct": F.size(F.array_distinct(words)),
-            "__qr_grams": F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), gram),
+            P + "distinct": F.size(F.array_distinct(words)),
+            P + "grams": F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), gram),
         }
     )
     numbered = F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     out = out.withColumn(
-        "__qr_found", F.when(F.size(F.array_distinct(grams)) < F.size(grams), F.sort_array(numbered))
+        P + "found", F.when(F.size(F.array_distinct(grams)) < F.size(grams), F.sort_array(numbered))
     )
     same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
     repeated = F.filter(found, lambda x, k: same(x, F.get(found, k - 1)) | same(x, F.get(found, k + 1)))
@@ -67,15 +70,15 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         {
             "symbol_rate": per("n_symbols", "n_words"),
             "repeat_rate": per("n_repeat_words", "n_words"),
-            "dup_line_rate": per("n_dup_lines", "__qr_n_lines"),
-            "upper_rate": per("__qr_upper", "word_chars"),
-            "mark_rate": per("__qr_marks", "n_words"),
+            "dup_line_rate": per("n_dup_lines", P + "n_lines"),
+            "upper_rate": per(P + "upper", "word_chars"),
+            "mark_rate": per(P + "marks", "n_words"),
             "mean_word": per("word_chars", "n_words"),
-            "distinct_rate": per("__qr_distinct", "n_words"),
-            "line_words": per("n_words", "__qr_n_lines"),
+            "distinct_rate": per(P + "distinct", "n_words"),
+            "line_words": per("n_words", P + "n_lines"),
         }
     )
-    return out.drop(*[c for c in out.columns if c.startswith("__qr_")])
+    return out.drop(*[c for c in out.columns if c.startswith(P)])
 
 
 @dataclass(frozen=True)
@@ -158,7 +161,10 @@ def decision_list(rules: list[Rule]) -> Column:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[Rule]:
-    """Rules from at most sample_rows labelled rows, picked by the hash of their ids. No labels: no rules."""
+    """Rules from at most sample_rows labelled rows, picked by the hash of their ids.
+
+    No labels: no rules. Labels without an id, a label or a document are left out; null and empty texts have only zeros
+    as statistics; of repeated rows each counts."""
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__qr_id"), F.col(label_col).alias("__qr_label"))
     picked = picked.orderBy(stable_order("__qr_id", "rules"), "__qr_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("__qr_key"), F.col(text_col).alias("text")).join(small(picked, sample_rows), F.col("__qr_key") == F.col("__qr_id"))

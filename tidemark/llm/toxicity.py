@@ -107,7 +107,7 @@ def fit_toxicity(
     labels: DataFrame,
     *,
     sample_rows: int = SAMPLE_ROWS,
-    lexicon_words: int = LEXICON_WORDS,
+    lexicon_words: int | None = LEXICON_WORDS,
     folds: int = 5,
     held: int = 0,
     id_col: str = "doc_id",
@@ -119,7 +119,9 @@ def fit_toxicity(
     The lexicon gets the words (of three letters or more) and stems that at least three toxic texts of the sample have, and
     that are at least twenty times as common in toxic texts as in others. Half of the sample (by the hash of the
     id) teaches the lexicon and the other half the trees, so that trees see the lexicon as new texts would.
-    Without labelled rows of both kinds the score is the prior, 0 if nothing is labelled.
+    Of these the lexicon_words that the most toxic texts have are taken, all if that is None. Without labelled rows of
+    both kinds the score is the prior, 0 if nothing is labelled. Labels without an id, a label or a document are left out;
+    null and empty texts count as texts without words; of repeated rows each counts.
     """
     sample = _sample(docs, labels, sample_rows, folds, held, id_col, text_col, label_col)
     teaches = F.xxhash64(F.lit("half"), "id") % 2 == 0
@@ -132,7 +134,8 @@ def fit_toxicity(
     bad_texts, texts = totals[0] or 0, totals[1] or 0
     clean_texts = max(texts - bad_texts, 1)
     often = (F.col("bad") / max(bad_texts, 1)) >= 20 * ((F.col("n") - F.col("bad") + 0.5) / clean_texts)
-    top = counts.where(often).orderBy(F.desc("bad"), "w").limit(lexicon_words).collect()
+    common = counts.where(often).orderBy(F.desc("bad"), "w")
+    top = (common if lexicon_words is None else common.limit(lexicon_words)).collect()
     lexicon = frozenset(r["w"] for r in top)
 
     def run(batches):
