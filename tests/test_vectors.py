@@ -29,10 +29,11 @@ def test_cosine_and_centroids(spark):
     assert frame(spark, [[0.0, 0.0]]).select(V.cosine("v", "v")).first()[0] is None
 
 
-@pytest.mark.parametrize("seeds_at_once", [20_000, 10])
+@pytest.mark.parametrize("bounds", [(1 << 24, 1 << 25, 1 << 22), (100, 400, 40)])
 @pytest.mark.parametrize("per_label", [False, True])
-def test_neighbours_equal_brute_force(spark, monkeypatch, seeds_at_once, per_label):
-    monkeypatch.setattr(knn, "MATRIX_SEEDS", seeds_at_once)
+def test_neighbours_equal_brute_force(spark, monkeypatch, bounds, per_label):
+    for name, value in zip(("MATRIX_BYTES", "CHUNK_BYTES", "CELLS"), bounds, strict=True):
+        monkeypatch.setattr(knn, name, value)
     monkeypatch.setattr(knn, "BLOCK", 16)
     posts, bank = rng.normal(size=(30, 6)), rng.normal(size=(50, 6))
     labels = [["high", "medium", "low"][k % 3] for k in range(50)]
@@ -223,3 +224,31 @@ def test_narrative_plan(spark):
     df = v.select("vec_id", "embedding", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 60).cast("int")).alias("t"), F.when(F.col("label") < 4, "high").otherwise("low").alias("risk"))
     out = narrative_evolution(df, {"relapse": [1.0] * 64, "recovery": [-1.0] * 64}, time="t", vector="embedding", risk="risk", least_posts=2)
     assert all(out[k].count() >= 0 for k in out) and out["windows"].count() > 3
+
+
+def test_ranks_and_quantiles_equal_sorting(spark):
+    from tidemark.operators.order import quantiles, running
+
+    r = random.Random(6)
+    values = [0.0, -0.0, 1e-310, -1e-310, 1e300, -1e300, float("inf"), *[r.choice([r.gauss(0, 1), r.gauss(0, 1e-4), float(r.randint(-3, 3)), 10 ** r.uniform(-200, 200)]) for _ in range(500)]]
+    rows = [("ab"[k % 2] if k % 7 else None, v) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    counts = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    for down in (False, True):
+        for row in running(counts, ["k"], "v", ["n"], down=down).collect():
+            same = [v for k, v in rows if k == row["k"]]
+            assert (row["before_n"], row["all_n"]) == (sum(v > row["v"] if down else v < row["v"] for v in same), len(same))
+    some = df.where("abs(v) < 1e6").unionByName(spark.createDataFrame([("c", 4.0), ("d", None), ("d", float("nan")), ("a", float("nan"))], "k string, v double"))
+    wanted = {"q10": 0.1, "q50": 0.5, "q75": 0.75, "q100": 1.0}
+    got = {x["k"]: x for x in quantiles(some, ["k"], "v", wanted).collect()}
+    assert set(got) == {"a", "b", None, "c"} and got["c"]["q10"] == 4.0
+    for k in ("a", "b", None):
+        mine = [v for g, v in rows if g == k and abs(v) < 1e6]
+        assert [got[k][n] for n in wanted] == pytest.approx([np.quantile(mine, q) for q in wanted.values()])
+    assert quantiles(some.limit(0), ["k"], "v", wanted).count() == 0
+
+
+def test_silhouette_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, None, "a"), (3, [0.0, 0.0], "a"), (4, [1.0, 0.1], None)], "i long, v array<double>, c string")
+    assert [(x["i"], x["silhouette"]) for x in metrics.silhouette(df, id_col="i", vector="v", cluster="c").collect()] == [(1, 0.0)]
+    assert metrics.silhouette(df.limit(0), id_col="i", vector="v", cluster="c").count() == 0

@@ -1,4 +1,4 @@
-"""Text functions over columns. All but HTML unescaping and HTML parsing stay in the JVM.
+"""Text functions over columns. All but HTML parsing, and unescaping of texts with an ampersand, stay in the JVM.
 
 Patterns are in the subset of syntax that Java and RE2 share, but for (?U), which gives \\w and \\s their Unicode
 meaning in Java. Null stays null everywhere.
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tidemark import config
 
+# What is cleaned and scrubbed.
 URL = r"http\S+|www\.\S+"
 MENTION = r"@\w+"
 TAG = r"#(\w+)"
@@ -29,6 +30,7 @@ ZIP = r"\b\d{5}(?:-\d{4})?\b"
 LOOSE_EMAIL = r"\S+@\S+\.\S+"
 LOOSE_PHONE = r"\b\d[\d\s\-\(\)]{7,}\d\b"
 TITLED_NAME = r"\b(Mr|Mrs|Ms)\. [A-Z][a-z]+\b"
+# End of fixed values.
 
 
 def _column(c: Column | str) -> Column:
@@ -36,11 +38,17 @@ def _column(c: Column | str) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def unescape_html(s: pd.Series) -> pd.Series:
-    """HTML entities to characters; the one cleaning step for which there is no built-in."""
+def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+def unescape_html(c: Column | str) -> Column:
+    """HTML entities to characters; the one cleaning step for which there is no built-in. Only texts with an ampersand go
+    to Python, the others as nulls."""
+    c = _column(c)
+    return F.coalesce(_unescaped(F.when(F.contains(c, F.lit("&")), c)), c)
+
+
 def strip_marks(c: Column | str, *, unicode: bool = True) -> Column:
     """Drops URLs, mentions, the sign of tags, and elements; then collapses white space and trims."""
     u = "(?U)" if unicode else ""
@@ -51,7 +59,7 @@ def strip_marks(c: Column | str, *, unicode: bool = True) -> Column:
 
 
 def clean(c: Column | str, *, unescape: bool = True, unicode: bool = True) -> Column:
-    """Unescapes entities, then strip_marks(). The UDF runs only on texts that have an ampersand."""
+    """Unescapes entities, then strip_marks()."""
     c = _column(c)
     return strip_marks(unescape_html(c) if unescape else c, unicode=unicode)
 

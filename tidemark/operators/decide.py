@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import quantiles
+
 
 def recommendations(report: DataFrame, *, states: str = "Unknown", lead_months: int = 3) -> DataFrame:
     """(period, topic, severity, recommendation, rationale) of a warning report: two rows for a critical alert, one
-    for others. The texts are fixed values."""
+    for others."""
+    # The texts of severities, recommendations and rationales.
     topic, level = F.col("topic"), F.col("alert_level")
     pct = F.coalesce(F.col("pct_increase"), F.lit(0.0)).cast("string")
     row = lambda severity, text, why: F.struct(F.lit(severity).alias("severity"), F.lit(text).alias("recommendation"), why.alias("rationale"))
@@ -129,9 +132,10 @@ def earliest_median_lag(summary: DataFrame, *, key: str = "substance") -> DataFr
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """count, mean, stddev, min, quartiles and max of a column, as one row."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(column).alias("max"))
+    """count, mean, stddev, min, quartiles and max of a column, as one row. Quartiles are exact, and no task sorts all values."""
+    one = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    marks = quantiles(df.select(F.lit(1).alias("__one"), column), ["__one"], column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return one.withColumn("__one", F.lit(1)).join(marks, "__one", "left").select("n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def first_existing(df: DataFrame, names: list[str]) -> str:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import config
-from tidemark.functions.vectors import unit
+from tidemark.operators.order import running
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, *, classes=config.RISKS, default: str = "low") -> DataFrame:
@@ -50,19 +52,16 @@ def score_counts(df: DataFrame, label: str, score: str, keys: list[str]) -> Data
 def roc_auc(df: DataFrame, label: str, score: str, *, keys: list[str] | None = None) -> DataFrame:
     """(keys, n_pos, n_neg, auc): the chance that a positive outranks a negative, ties half; null without both kinds."""
     keys = keys or []
-    w = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = score_counts(df, label, score, keys).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    out = below.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("__u"))
+    below = running(score_counts(df, label, score, keys), keys, "score", ["neg"])
+    out = below.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("__u"))
     return out.withColumn("auc", F.col("__u") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).drop("__u")
 
 
 def roc_points(df: DataFrame, label: str, score: str, *, keys: list[str] | None = None) -> DataFrame:
     """(keys, threshold, tpr, fpr) at each distinct score, by running sums from the top."""
     keys = keys or []
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(*keys)
-    counts = score_counts(df, label, score, keys)
-    rate = lambda c: F.sum(c).over(down) / F.nullif(F.sum(c).over(everything), F.lit(0))
+    counts = running(score_counts(df, label, score, keys), keys, "score", ["pos", "neg"], down=True)
+    rate = lambda c: (F.col(f"before_{c}") + F.col(c)) / F.nullif(F.col(f"all_{c}"), F.lit(0))
     return counts.select(*keys, F.col("score").alias("threshold"), rate("pos").alias("tpr"), rate("neg").alias("fpr"))
 
 
@@ -89,37 +88,85 @@ def silhouette(df: DataFrame, *, id_col: str, vector: str, cluster: str) -> Data
     """(id_col, cluster, silhouette) under cosine distance, in time linear in the rows.
 
     The mean distance of x to a cluster of unit vectors is 1 - x . S / n with their sum S, so rows need sums of
-    clusters only, not each other. A row that is alone in its cluster has 0. The sums of all clusters, as many
-    numbers as clusters times dimensions, are one row that goes to each task.
+    clusters only, not each other. A row that is alone in its cluster has 0; rows without a cluster or a length have
+    none. Tasks sum their rows by cluster, and the sums of all clusters, as many numbers as clusters times dimensions,
+    go to each task, which multiplies its batches with them.
     """
-    rows = df.where(F.col(cluster).isNotNull() & F.col(vector).isNotNull()).select(id_col, F.col(cluster).alias("c"), unit(vector).alias("u")).where("u IS NOT NULL")
-    sums = rows.select("c", F.posexplode("u").alias("k", "x")).groupBy("c", "k").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    table = sums.groupBy("c").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "s")))["s"].alias("s"))
-    table = table.groupBy().agg(F.array_sort(F.collect_list(F.struct("c", "n", "s"))).alias("t"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    # One row with all clusters' sums: k clusters of d numbers.
-    met = rows.crossJoin(F.broadcast(table))
-    far = F.transform("t", lambda t: F.struct(t["c"].alias("c"), t["n"].alias("n"), dot(F.col("u"), t["s"]).alias("d")))
-    met = met.withColumn("f", far)
-    own = F.filter("f", lambda t: t["c"] == F.col("c"))[0]
-    a = (own["n"] - own["d"]) / F.nullif(own["n"] - 1, F.lit(0))
-    b = F.array_min(F.transform(F.filter("f", lambda t: t["c"] != F.col("c")), lambda t: 1 - t["d"] / t["n"]))
-    s = F.when(own["n"] == 1, 0.0).otherwise((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)))
-    return met.select(id_col, F.col("c").alias(cluster), F.coalesce(s, F.lit(0.0)).alias("silhouette"))
+    rows = df.where(F.col(cluster).isNotNull() & F.col(vector).isNotNull()).select(id_col, F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v"))
+    kind = rows.schema["c"].dataType
+
+    def units(batch):
+        m = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        lengths = np.linalg.norm(m, axis=1)
+        return m / np.where(lengths > 0, lengths, 1)[:, None], lengths > 0
+
+    def summed(batches):
+        import pyarrow as pa
+
+        sums, schema = {}, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            schema = batch.schema
+            u, there = units(batch)
+            names = batch.column("c").to_pylist()
+            place = {c: k for k, c in enumerate(dict.fromkeys(names))}
+            at = np.fromiter(map(place.__getitem__, names), np.int64, len(names))
+            total = np.zeros((len(place), u.shape[1]))
+            np.add.at(total, at[there], u[there])
+            many = np.bincount(at[there], minlength=len(place))
+            for c, k in place.items():
+                n, s = sums.get(c, (0, 0.0))
+                sums[c] = n + int(many[k]), s + total[k]
+        if sums:
+            values = [pa.array(list(sums), schema.field("c").type), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([s.tolist() for _, s in sums.values()], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(values, ["c", "n", "s"])
+
+    parts = rows.select("c", "v").mapInArrow(summed, T.StructType([T.StructField("c", kind), T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType()))]))
+    places = parts.select("c", "n", F.posexplode("s").alias("k", "x")).groupBy("c", "k").agg(F.sum("x").alias("s"), F.sum("n").alias("n"))
+    table = places.groupBy("c").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "s")))["s"].alias("s")).where("n > 0").collect()
+    names = [r["c"] for r in table]
+    bank = df.sparkSession.sparkContext.broadcast(({c: k for k, c in enumerate(names)}, np.array([r["n"] for r in table], float), np.array([r["s"] for r in table], float)))
+
+    def scored(batches):
+        import pyarrow as pa
+
+        place, n, sums = bank.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, there = units(batch)
+            batch, u = batch.filter(pa.array(there)), u[there]
+            if not len(u):
+                continue
+            at, row = np.fromiter(map(place.__getitem__, batch.column("c").to_pylist()), np.int64, len(u)), np.arange(len(u))
+            d = u @ sums.T
+            far = 1 - d / n
+            a = (n[at] - d[row, at]) / np.maximum(n[at] - 1, 1)
+            far[row, at] = np.inf
+            b = far.min(1)
+            top = np.maximum(a, b)
+            s = np.where((n[at] == 1) | ~np.isfinite(b) | (top == 0), 0.0, (b - a) / np.where(top == 0, 1, top))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("c"), pa.array(np.where(np.isfinite(s), s, 0.0))], [id_col, cluster, "silhouette"])
+
+    return rows.mapInArrow(scored, T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField(cluster, kind), T.StructField("silhouette", T.DoubleType())]))
 
 
 def ndcg(df: DataFrame, *, score: str, relevance: str, ks=(50, 100, 500), keys: list[str] | None = None) -> DataFrame:
     """(keys, k, ndcg): gains of equal scores are averaged, as over all their orders; discount log2(rank + 1).
 
     Rows collapse to distinct scores first, with their number and mean gain; a group's discounts are a sum over
-    its ranks up to k.
+    its ranks up to k. Of a key's distinct scores only the largest, as many as the largest k, are ever sorted, and each
+    task sends no more than these.
     """
     keys = keys or []
     groups = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(relevance).cast("double")).alias("g"))
     ideal = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(relevance).cast("double").alias("g")).agg(F.count(F.lit(1)).alias("n"))
 
     def total(rows: DataFrame, order: str, name: str) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+        by = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc(order))
+        rows = rows.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= max(ks))
+        w = by.rowsBetween(Window.unboundedPreceding, -1)
         placed = rows.withColumn("a", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("a < k")
         ranks = F.sequence(F.col("a") + 1, F.least(F.col("a") + F.col("n"), F.col("k").cast("long")))
         discount = F.aggregate(ranks, F.lit(0.0), lambda acc, r: acc + 1 / F.log2(r + 1))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import centroids, cosine
+from tidemark.operators.order import quantiles
 from tidemark.operators.series import global_z
 
 
@@ -54,14 +55,17 @@ def drift(windows: DataFrame, *, threshold: float = 2.0) -> DataFrame:
 
 def topic_prevalence(posts: DataFrame, anchors: dict[str, list[float]], *, time: str, vector: str, unit: str = "week", share_above: float = 0.45, least_posts: int = 1) -> DataFrame:
     """(period, post_count, <topic>_score, <topic>_pct): the 75th percentile of posts' cosine to a topic's anchor
-    vector, and the share above share_above."""
+    vector, and the share above share_above. The percentile is exact; a window of any size is never in one task."""
     rows = posts.where(F.col(time).isNotNull() & F.col(vector).isNotNull()).withColumn("period", F.date_trunc(unit, time).cast("date"))
     sims = {t: F.round(cosine(vector, F.array(*[F.lit(float(x)) for x in v])), 9).alias(t) for t, v in anchors.items()}
     scored = rows.select("period", *sims.values())
-    aggregates = []
-    for t in anchors:
-        aggregates += [F.percentile(t, F.lit(0.75)).alias(f"{t}_score"), F.avg((F.col(t) > share_above).cast("double")).alias(f"{t}_pct")]
-    return scored.groupBy("period").agg(F.count(F.lit(1)).alias("post_count"), *aggregates).where(F.col("post_count") >= least_posts)
+    shares = [F.avg((F.col(t) > share_above).cast("double")).alias(f"{t}_pct") for t in anchors]
+    out = scored.groupBy("period").agg(F.count(F.lit(1)).alias("post_count"), *shares).where(F.col("post_count") >= least_posts)
+    if not anchors:
+        return out
+    long = scored.select("period", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(t).alias("x")) for t in anchors])).alias("s")).select("period", "s.t", "s.x")
+    marks = quantiles(long, ["period", "t"], "x", {"q": 0.75}).groupBy("period").agg(*[F.max(F.when(F.col("t") == t, F.col("q"))).alias(f"{t}_score") for t in anchors])
+    return out.join(marks, "period", "left").select("period", "post_count", *[f"{t}{end}" for t in anchors for end in ("_score", "_pct")])
 
 
 def melt_topics(topics: DataFrame, *, suffix: str = "_score", name: str = "topic", value: str = "score") -> DataFrame:

@@ -64,6 +64,11 @@ def _hits(c: Column, patterns: Iterable[str]) -> Column:
     return reduce(lambda a, b: a + b, [c.rlike("(?i)" + p).cast("int") for p in patterns], F.lit(0))
 
 
+def _any(c: Column, patterns: Iterable[str]) -> Column:
+    """Whether one of the patterns occurs, by one search for all of them."""
+    return c.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+
+
 def substance_score(text: str, substances: str, *, weights=None, boosts: Mapping[str, float] | None = None, negation=config.NEGATION, past=config.PAST) -> Column:
     """The largest weight among the substances, a fifth of it if the text negates, half if it is about the past.
 
@@ -90,15 +95,15 @@ def distress_score(text: str, signals: str, *, weights=None, urgency=config.URGE
     best = F.greatest(
         F.coalesce(of, zero),
         F.when(F.size(signals) >= 3, 0.20).otherwise(zero),
-        F.when(_hits(F.col(text), urgency) > 0, 0.95).otherwise(zero),
-        F.when(_hits(F.col(text), escalation) > 0, 0.70).otherwise(zero),
+        F.when(_any(F.col(text), urgency), 0.95).otherwise(zero),
+        F.when(_any(F.col(text), escalation), 0.70).otherwise(zero),
     )
     return F.round(F.least(best, F.lit(1.0)), 3)
 
 
 def behavior_score(text: str, groups=None) -> Column:
     """The largest weight among the groups of which a pattern occurs."""
-    best = [F.when(_hits(F.col(text), patterns) > 0, float(w)).otherwise(0.0) for w, patterns in (config.BEHAVIOURS if groups is None else groups).values()]
+    best = [F.when(_any(F.col(text), patterns), float(w)).otherwise(0.0) for w, patterns in (config.BEHAVIOURS if groups is None else groups).values()]
     return F.round(F.greatest(*best, F.lit(0.0)), 3)
 
 
