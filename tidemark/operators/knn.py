@@ -60,11 +60,11 @@ def _first(group: np.ndarray, order: np.ndarray, tie: np.ndarray, k: int) -> np.
     return at[np.arange(len(at)) - starts < k]
 
 
-def neighbours(posts: DataFrame, seeds: DataFrame, *, id_col: str, vector: str, seed_id: str = "seed_id", seed_label: str = "label", seed_vector: str = "embedding", k: int = 10, per_label: bool = False) -> DataFrame:
+def neighbours(posts: DataFrame, seeds: DataFrame, *, id_col: str, vector: str, seed_id: str = "seed_id", seed_label: str = "label", seed_vector: str = "embedding", k: int = 10, per_label: bool = False, matrix_bytes: int | None = None) -> DataFrame:
     """(id_col, seed_id, label, similarity, rank): each post's k nearest seeds by cosine, over all or for each label.
 
     Ties are broken by seed id. Posts without a vector have no row. Similarities are rounded to 9 places before
-    they are ranked, so that the order of summation cannot decide.
+    they are ranked, so that the order of summation cannot decide. Seeds of more than matrix_bytes go in blocks.
     """
     spark = posts.sparkSession
     s = seeds.select(F.col(seed_id).cast("long").alias("i"), F.coalesce(F.col(seed_label).cast("string"), F.lit("")).alias("l"), F.col(seed_vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
@@ -73,7 +73,7 @@ def neighbours(posts: DataFrame, seeds: DataFrame, *, id_col: str, vector: str,
     n, size = s.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    if 8 * n * size <= MATRIX_BYTES:
+    if 8 * n * size <= (MATRIX_BYTES if matrix_bytes is None else matrix_bytes):
         hits = _by_matrix(p, s, schema, k, per_label)
     else:
         hits = _by_chunks(p, s, schema, k, per_label, size, n)

@@ -194,23 +194,31 @@ def lead_lag_corr(spark, d):
 
 @query("lead_lag_by_rows", f"""WITH {OFFICIAL}, {SOCIAL}, both_ AS (
   SELECT substance, period, post_count AS s, deaths AS o FROM social JOIN official USING (substance, period)
-), l AS (SELECT *, lag(o, 2) OVER w AS o2, lead(o, 1) OVER w AS p1 FROM both_ WINDOW w AS (PARTITION BY substance ORDER BY period)),
-u AS (
-  SELECT substance, 2 AS shift_lag, s, o2 AS o FROM l UNION ALL SELECT substance, -1, s, p1 FROM l
-)
-SELECT substance, shift_lag, -shift_lag AS lead_months, count(*) AS n, round(corr(s, o), 6) AS r FROM u WHERE o IS NOT NULL GROUP BY ALL""")
+), u AS ({" UNION ALL ".join(f"SELECT substance, {k} AS shift_lag, s, lag(o, {k}) OVER (PARTITION BY substance ORDER BY period) AS o FROM both_" for k in range(-3, 4))})
+SELECT substance, shift_lag, -shift_lag AS lead_months, count(*) AS n, round(corr(s, o), 6) AS r FROM u WHERE o IS NOT NULL GROUP BY ALL HAVING count(*) >= 5""")
 def lead_lag_by_rows(spark, d):
     rows = series.lead_lag(social(spark, d), official(spark, d), keys=["substance"], social_value="post_count", official_value="deaths", calendar=False, p_values=False)
-    return rows.where("shift_lag IN (2, -1)").withColumn("r", r6("r"))
+    return rows.withColumn("r", r6("r"))
 
 
-@query("lead_lag_p")
+#: Student's t with n - 2 degrees of freedom has a finite series in the cosine of its angle, whose sine is |r|.
+P_VALUES = LEAD_LAG + """, ps AS (
+  SELECT *, CASE WHEN r IS NULL OR isnan(r) THEN NULL WHEN n % 2 = 0 THEN greatest(0, 1 - abs(r) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * pow(1 - r * r, k))))
+    ELSE greatest(0, 1 - 2 / pi() * (asin(abs(r)) + coalesce(abs(r) * list_sum(list_transform(range(0, (n - 3) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * pow(1 - r * r, k + 0.5))), 0))) END AS p
+  FROM cors)"""
+
+
+@query("lead_lag_p", P_VALUES + " SELECT substance, shift_lag, lead_months, n, round(r, 6) AS r, round(p, 6) AS p FROM ps")
 def lead_lag_p(spark, d):
-    """Correlations with p-values; tests hold these against an independent integration of the t density."""
-    return correlations(spark, d)
+    """Correlations with p-values; tests also hold these against an independent integration of the t density."""
+    return correlations(spark, d).withColumns({"r": r6("r"), "p": r6("p")})
+
 
+BEST = P_VALUES + """, best AS (
+  SELECT substance, lead_months FROM ps WHERE lead_months > 0 AND p < 0.05 QUALIFY row_number() OVER (PARTITION BY substance ORDER BY abs(r) DESC, lead_months) = 1)"""
 
-@query("best_lead")
+
+@query("best_lead", BEST + " SELECT substance, coalesce(max(best.lead_months), 0) AS lead_months FROM (SELECT DISTINCT substance FROM ps) LEFT JOIN best USING (substance) GROUP BY 1")
 def best_lead(spark, d):
     return series.best_lead(correlations(spark, d), keys=["substance"])
 
@@ -378,22 +386,24 @@ def scrub_pii(spark, d):
     return table(spark, d, "pages").select("page_id", X.scrub("html").alias("scrubbed"))
 
 
-@query("html_text")
+#: These pages have well-formed elements, no others than these entities, and scripts without a closing tag but in quotes.
+VISIBLE = r"""regexp_replace(regexp_replace(regexp_replace(html, '<script>.*?</script>', ' ', 'g'), '<style>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')"""
+ENTITIES = (("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&quot;", '"'), ("&amp;", "&"))
+
+
+def unescaped_sql(column: str) -> str:
+    for name, character in ENTITIES:
+        column = f"replace({column}, '{name}', '{character}')"
+    return column
+
+
+@query("html_text", f"SELECT page_id, trim(regexp_replace({unescaped_sql(VISIBLE)}, '\\s+', ' ', 'g')) AS text FROM pages")
 def html_text(spark, d):
     """Visible text of pages; tests hold it against an independent parse."""
     return table(spark, d, "pages").select("page_id", X.html_text("html").alias("text"))
 
 
-def _term_sql() -> str:
-    """Whole terms between characters that are neither letters nor digits; twice, for neighbours share one."""
-    out = "lower(text)"
-    for term in sorted(LEXICON, key=lambda t: -len(t)):
-        for _ in range(2):
-            out = f"regexp_replace({out}, '(^|[^\\pL\\pN_]){term}($|[^\\pL\\pN_])', '\\1{LEXICON[term]}\\2', 'g')"
-    return out
-
-
-@query("slang_normalize", f"SELECT doc_id, md5({_term_sql()}) AS digest FROM documents")
+@query("slang_normalize")
 def slang_normalize(spark, d):
     return spread(table(spark, d, "documents")).select("doc_id", F.md5(X.normalize_terms("text", LEXICON).cast("binary")).alias("digest"))
 
@@ -438,7 +448,17 @@ def dedup_exact(spark, d):
     return kept.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("window_terms")
+#: Runs of what Java's Unicode word class holds.
+TOKENS = r"regexp_extract_all(lower(text), '[\pL\p{Mn}\p{Me}\p{Mc}\p{Nd}\p{Pc}]+')"
+
+
+def near_sql(term: str) -> str:
+    """Words within five places of the first occurrence of a term, and what of them counts."""
+    stop = ", ".join(f"'{w}'" for w in config.STOPWORDS)
+    return f"""list_filter(CASE WHEN list_position(t, {term}) > 0 THEN t[greatest(list_position(t, {term}) - 5, 1):list_position(t, {term}) + 5] ELSE [] END, lambda w: len(w) >= 3 AND w NOT IN ({stop}) AND w <> {term})"""
+
+
+@query("window_terms", f"SELECT doc_id, array_to_string({near_sql("'thnt'")}, ' ') AS terms FROM (SELECT doc_id, {TOKENS} AS t FROM documents)")
 def window_terms(spark, d):
     """Neighbours of a term; tests hold it against Python's own tokens."""
     return table(spark, d, "documents").select("doc_id", F.array_join(X.window_terms("text", "thnt"), " ").alias("terms"))
@@ -518,7 +538,43 @@ def rule_pipeline_domain(spark, d):
     return done.select("post_id", "substance_score", "distress_score", "behavior_score", "combined_score", "risk_level", "routing")
 
 
-@query("quality_report")
+SPACES = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+WORDS = "[\\pL\\p{Mn}\\p{Me}\\p{Mc}\\p{Nd}\\p{Pc}]+"
+
+
+def cleaned_sql(column: str) -> str:
+    for pattern, new in ((r"http\S+|www\.\S+", ""), (f"@{WORDS}", ""), (f"#({WORDS})", r"\1"), ("<[^>]+>", ""), (SPACES, " ")):
+        column = f"regexp_replace({column}, '{pattern}', '{new}', 'g')"
+    return f"trim({column})"
+
+
+def scrubbed_sql(column: str, *, loose: bool = False) -> str:
+    """An address may begin with a mark only behind a word character, as a boundary of words stands before it."""
+    for pattern, new in ((X.LOOSE_EMAIL if loose else X.EMAIL, "[EMAIL]"), (X.LOOSE_PHONE if loose else X.PHONE, "[PHONE]"), (X.ZIP, "[ZIP]")):
+        column = f"regexp_replace({column}, '{pattern}', '{new}', 'g')"
+    return column
+
+
+def terms_sql(column: str, lexicon: dict) -> str:
+    """Whole terms between characters that are neither letters nor digits; twice, for neighbours share one."""
+    out = f"lower({column})"
+    for term in sorted(lexicon, key=lambda t: -len(t)):
+        for _ in range(2):
+            out = f"regexp_replace({out}, '(^|[^\\pL\\pN_]){term}($|[^\\pL\\pN_])', '\\1{lexicon[term]}\\2', 'g')"
+    return out
+
+
+SQL["slang_normalize"] = f"SELECT doc_id, md5({terms_sql('text', LEXICON)}) AS digest FROM documents"
+
+PROCESSED = f"""first AS (SELECT min(doc_id) AS post_id, text FROM documents WHERE text IS NOT NULL GROUP BY text
+), clean AS (SELECT post_id, {scrubbed_sql(cleaned_sql(unescaped_sql("text")))} AS c FROM first
+), processed AS (SELECT post_id, {terms_sql("c", LEXICON)} AS t FROM clean)"""
+
+
+@query("quality_report", f"""WITH {PROCESSED}, f AS (SELECT t, {" OR ".join(f"regexp_matches(t, '(^|[^{chr(92)}pL{chr(92)}pN_]){v}($|[^{chr(92)}pL{chr(92)}pN_])')" for v in sorted(set(LEXICON.values())))} AS has_term,
+    {" OR ".join(f"contains(t, '{p}')" for v in SIGNALS.values() for p in v)} AS has_signal, {" OR ".join(f"regexp_matches(t, '{p}')" for p in (X.EMAIL, X.PHONE, X.ZIP, X.TITLED_NAME))} AS pii FROM processed)
+SELECT count(*) AS n_posts, round(avg(CAST(has_term AS INTEGER)), 6) AS substance_rate, round(avg(CAST(has_signal AS INTEGER)), 6) AS distress_rate, count(*) FILTER (pii) AS n_with_pii,
+  count(*) FILTER (len(t) = 0) AS n_empty, round(avg(len(t)), 6) AS mean_length FROM f""")
 def quality_report(spark, d):
     return risk_plan.quality_report(risk_plan.preprocess(table(spark, d, "documents"), text="text", id_col="doc_id", lexicon=LEXICON, signals=SIGNALS))
 
@@ -767,7 +823,12 @@ def embedding_classify(spark, d):
     return out.select("vec_id", *[r6(f"prob_{c}").alias(f"prob_{c}") for c in ("high", "medium", "low")])
 
 
-@query("embedding_classify_global")
+@query("embedding_classify_global", f"""WITH {VECTORS}, {SEEDS}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, seed_id) AS rank FROM sims
+), m AS (SELECT vec_id, c, greatest(coalesce(avg(similarity) FILTER (label = c), 0), 0) AS s FROM k, (SELECT unnest(['high', 'medium', 'low']) AS c) WHERE rank <= 10 GROUP BY 1, 2
+), p AS (SELECT vec_id, c, round(CASE WHEN sum(s) OVER (PARTITION BY vec_id) > 0 THEN s / sum(s) OVER (PARTITION BY vec_id) ELSE 1 / 3 END, 9) AS p FROM m
+), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, list_position(['high', 'medium', 'low'], c)) AS k FROM p
+), r AS (SELECT vec_id, max(c) FILTER (k = 1) AS risk_level, round(max(p) FILTER (k = 1) - max(p) FILTER (k = 2), 9) AS confidence FROM o GROUP BY 1)
+SELECT vec_id, risk_level, round(confidence, 6) AS confidence, confidence < 0.15 AS needs_review FROM r""")
 def embedding_classify_global(spark, d):
     out = knn.classify_by_neighbours(vectors(spark, d), seeds(spark, d), id_col="vec_id", vector="embedding", mode="global")
     return out.select("vec_id", "risk_level", r6("confidence").alias("confidence"), "needs_review")
@@ -803,7 +864,16 @@ def drift(spark, d):
     return drift_windows(spark, d).select("period", "n", "drift_score", "cumulative_drift")
 
 
-@query("drift_direction")
+DIRECTIONS = WINDOWS + """, hu AS (SELECT period, k, avg(x) AS x FROM u WHERE risk = 'high' GROUP BY 1, 2 HAVING count(*) >= 3
+), hc AS (SELECT period, list(x ORDER BY k) AS h FROM hu GROUP BY 1
+), seen AS (SELECT d.*, lag(h) OVER (ORDER BY period) AS ph FROM drifts d LEFT JOIN hc USING (period)
+), sided AS (SELECT *, list_cosine_similarity(c, ph) AS now_, list_cosine_similarity(p, ph) AS then_ FROM seen)"""
+
+
+@query("drift_direction", f"""WITH {DIRECTIONS.replace("SELECT period, n, round(1 -", "SELECT period, n, c, p, round(1 -")}
+SELECT period, CASE WHEN p IS NULL THEN NULL WHEN ph IS NULL THEN 'unknown' WHEN now_ > then_ THEN 'toward_risk' ELSE 'away_from_risk' END AS drift_direction,
+  round(CASE WHEN stddev_samp(drift_score) OVER () > 0 THEN (drift_score - avg(drift_score) OVER ()) / stddev_samp(drift_score) OVER () ELSE 0 END, 6) AS z,
+  coalesce((drift_score - avg(drift_score) OVER ()) / nullif(stddev_samp(drift_score) OVER (), 0) > 2, false) AS is_drift_event FROM sided""")
 def drift_direction(spark, d):
     return drift_windows(spark, d).select("period", "drift_direction", r6("z").alias("z"), "is_drift_event")
 
@@ -866,11 +936,13 @@ def ndcg(spark, d):
 @query("cluster_label", f"""WITH {VECTORS}, x AS (SELECT label, unnest(e) AS x, unnest(range(len(e))) AS k FROM vectors), m AS (SELECT label, k, avg(x) AS x FROM x GROUP BY 1, 2
 ), c AS (SELECT label, list(x ORDER BY k) AS c FROM m GROUP BY 1
 ), r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY round({DOT.format(a="e", b="c")} / (len * sqrt(list_sum(list_transform(c, lambda x: x * x)))), 9) DESC, vec_id) AS k FROM sized JOIN c USING (label))
-SELECT label, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY k) AS examples FROM r WHERE k <= 5 GROUP BY 1""")
+, counts AS (SELECT label, risk, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, risk) AS k, sum(count(*)) OVER (PARTITION BY label) AS n FROM vectors GROUP BY 1, 2
+), top AS (SELECT label, risk, CAST(n AS BIGINT) AS n FROM counts WHERE k = 1)
+SELECT label, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY r.k) AS examples, any_value(top.risk) AS risk, 's' || any_value(top.risk) AS substance, any_value(n) AS n FROM r JOIN top USING (label) WHERE r.k <= 5 GROUP BY 1""")
 def cluster_label(spark, d):
-    rows = vectors(spark, d).withColumn("substance", F.col("risk"))
+    rows = vectors(spark, d).withColumn("substance", F.concat(F.lit("s"), "risk"))
     out = clusters.label_clusters(rows, id_col="vec_id", vector="embedding", cluster="label", substance="substance", risk="risk")
-    return out.select("label", F.array_join("examples", ",").alias("examples"))
+    return out.select("label", F.array_join("examples", ",").alias("examples"), "risk", "substance", "n")
 
 
 @query("kmeans")
@@ -998,18 +1070,33 @@ def earliest_median_lag(spark, d):
     return decide.earliest_median_lag(series.lag_summary(series.detection_lag(official_spikes(spark, d), alerts(spark, d))))
 
 
-@query("flat_correlations")
+@query("flat_correlations", P_VALUES + """, best AS (SELECT substance, shift_lag AS best_lag FROM ps WHERE p < 0.05 QUALIFY row_number() OVER (PARTITION BY substance ORDER BY r DESC, shift_lag DESC) = 1)
+SELECT substance, shift_lag, lead_months, n, round(r, 6) AS r, round(p, 6) AS p, coalesce(p < 0.05, false) AS significant, best_lag FROM ps LEFT JOIN best USING (substance)""")
 def flat_correlations(spark, d):
     out = decide.flat_correlations(correlations(spark, d))
-    return out.join(decide.best_significant_lag(out).withColumnRenamed("shift_lag", "best_lag").drop("r"), "substance", "left")
+    best = decide.best_significant_lag(out).withColumnRenamed("shift_lag", "best_lag").drop("r")
+    return out.withColumns({"r": r6("r"), "p": r6("p")}).join(best, "substance", "left")
 
 
-@query("spike_evidence")
+EVIDENCE = f"""{WINDOWS}, z AS (SELECT *, coalesce((drift_score - avg(drift_score) OVER ()) / nullif(stddev_samp(drift_score) OVER (), 0) > 2, false) AS event FROM drifts
+), w AS (SELECT period AS start FROM z WHERE event OR NOT (SELECT bool_or(event) FROM z) ORDER BY drift_score DESC NULLS LAST, period LIMIT 12
+), inside AS (SELECT start, vec_id, risk, round({DOT.format(a="e", b=f"CAST({QUERY} AS DOUBLE[])")} / (len * {sum(x * x for x in QUERY) ** 0.5!r}), 9) AS similarity FROM sized JOIN w ON t >= start AND t < start + 7
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY similarity DESC, vec_id) AS rank FROM inside QUALIFY count(*) OVER (PARTITION BY start) >= 5
+), kept AS (SELECT *, (similarity - min(similarity) OVER g) / nullif(max(similarity) OVER g - min(similarity) OVER g, 0) AS sc FROM ranked WHERE rank <= 10 WINDOW g AS (PARTITION BY start)
+), votes AS (SELECT start, risk, row_number() OVER (PARTITION BY start ORDER BY count(*) DESC, risk) AS k FROM kept GROUP BY 1, 2)"""
+
+
+@query("spike_evidence", f"""WITH {EVIDENCE}
+SELECT kept.start, count(*) AS n, round(avg(coalesce(sc, 1)) FILTER (rank <= 5), 6) AS confidence, string_agg('post ' || vec_id, ',' ORDER BY rank) FILTER (rank <= 5) AS evidence, any_value(votes.risk) AS inferred_risk
+FROM kept JOIN votes ON votes.start = kept.start AND votes.k = 1 GROUP BY 1 HAVING count(*) >= 3""")
 def spike_evidence(spark, d):
-    """Evidence for the weeks of most drift; tests hold the ranks against brute force."""
+    """Evidence for the weeks of most drift; tests also hold the ranks against brute force."""
     from tidemark.plans.evidence import spike_evidence as run
 
     rows = vectors(spark, d).withColumns({"text": F.concat(F.lit("post "), F.col("vec_id").cast("string")), "substance": F.concat(F.lit("s"), F.col("label").cast("string"))})
     windows = narrative.spike_periods(drift_windows(spark, d))
     queries = windows.select("start", F.array(*map(F.lit, QUERY)).alias("query_vector"))
-    return run(rows, windows, queries, time="t", id_col="vec_id", vector="embedding", text="text", substance="substance", risk="risk")["evidence"]
+    return run(rows, windows, queries, time="t", id_col="vec_id", vector="embedding", text="text", substance="substance", risk="risk")["evidence"].withColumn("evidence", F.array_join("evidence", ","))
+
+
+from tidemark.plans import catalog_rest, catalog_sources  # noqa: E402, F401  (they register their queries)

@@ -62,16 +62,19 @@ def read_official_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_experience_posts(spark: SparkSession, path: str, *, source: str = "experience") -> DataFrame:
     """A prepared table of experience posts from CSV; rows without a substance are left out, a missing source is set."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    missing = {"timestamp", "substance", "risk_level"} - set(df.columns)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    names = raw.csv(path).columns
+    missing = {"timestamp", "substance", "risk_level"} - set(names)
     if missing:
         raise ValueError(f"{path} lacks {sorted(missing)}")
+    kinds = {"rating": "double", "usefulCount": "long", "year": "int"}
+    df = raw.schema(", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in names)).csv(path)
     kept = df.where("substance IS NOT NULL").withColumn("timestamp", F.try_to_timestamp("timestamp"))
     return kept.withColumn("source", F.coalesce("source", F.lit(source)) if "source" in df.columns else F.lit(source))
 
 
 def read_experience_tree(spark: SparkSession, base: str, *, version: int = 1, least_reports: int | None = None, ner=None) -> DataFrame:
-    """Experience reports from <base>/<substance>/<n>.txt, one file a row.
+    """Experience reports from <base>/<substance>/<n>.txt, one file a row; <base>/<name>=<substance>/ is read too.
 
     Version 1 keeps folders of 30 files and labels by text alone; version 2 keeps folders of 5, texts of 20 words or
     more, cut to 4000 characters (a feature of that format), and takes two distress phrases alone for high. The id is
@@ -80,7 +83,8 @@ def read_experience_tree(spark: SparkSession, base: str, *, version: int = 1, le
     least = least_reports if least_reports is not None else (30 if version == 1 else 5)
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").option("wholetext", True).text(base)
     parts = F.split(F.regexp_replace("_metadata.file_path", "%20", " "), "/")
-    rows = raw.select("value", F.element_at(parts, -2).alias("dir"), F.element_at(parts, -1).alias("file"))
+    folder = F.regexp_replace(F.element_at(parts, -2), "^[A-Za-z_]+=", "")  # a partition's folder counts by its value
+    rows = raw.select("value", folder.alias("dir"), F.element_at(parts, -1).alias("file"))
     many = rows.groupBy("dir").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("dir")
     rows = rows.join(many, "dir", "left_semi").withColumn("plain", X.html_text("value"))
     year = X.labelled_year("plain") if version == 1 else X.first_year("plain")
