@@ -70,7 +70,14 @@ def forget(*frames: DataFrame) -> None:
 
 
 def bytes_of(df: DataFrame) -> int:
-    """About the bytes of a table: its strings and binaries as measured, 16 for each other cell."""
+    """The bytes of a checkpointed table, or more than those of a part of one, by its files; of any other table
+    about its bytes, by a job: its strings and binaries as measured, 16 for each other cell."""
+    spark, plan = df.sparkSession, df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    if plan.nodeName() == "LogicalRDD" and (file := plan.rdd().getCheckpointFile()).isDefined():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(path).getLength()
     wide = [F.sum(F.octet_length(f.name)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
     rows, *sums = df.agg(F.count(F.lit(1)), *wide).first()
     return 16 * rows * len(df.columns) + sum(x or 0 for x in sums)

@@ -64,23 +64,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", "m")).distinct()
 
 
-def connected_components(edges: DataFrame, *, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, *, one_task: int = ONE_TASK_EDGES, kept: bool = False) -> DataFrame:
     """(a, b): every node of edges (a, b) that is not its component's smallest, and that smallest node.
 
     Nodes are of any ordered type. Few edges (counted) go through one union-find. More are contracted within
     their partitions, and then large and small stars alternate until nothing changes; each round is
-    checkpointed, and no node's neighbours are ever gathered. Loops and repeated edges count for nothing.
+    checkpointed, and no node's neighbours are ever gathered. Loops and repeated edges count for nothing. Edges of
+    checkpointed tables (kept) are read from these, others are checkpointed first.
     """
-    edges = checkpointed(edges.select("a", "b").where("a <> b"))
+    edges = edges.select("a", "b").where("a <> b")
+    own = [] if kept else [checkpointed(edges)]
+    edges = edges if kept else own[0]
     n = edges.count()
     if n <= one_task:
         out = checkpointed(_contracted(edges.repartition(1)))
-        forget(edges)
+        forget(*own)
         return out
-    edges, old = checkpointed(_contracted(edges)), edges
+    edges, old = checkpointed(_contracted(edges)), None
+    forget(*own)
     mark = None
     while True:
-        forget(old)
+        if old is not None:
+            forget(old)
         edges, old = checkpointed(_small_star(_large_star(edges))), edges
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:

@@ -207,10 +207,9 @@ def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: i
     member at a time.
     """
     load = queries.groupBy(*BLOCK).agg(F.greatest(F.sum("n"), F.lit(MEMBERS)).alias("load"))
-    counts = checkpointed(members.groupBy(*BLOCK).agg(F.sum("n").alias("all")).join(load, BLOCK).select(*BLOCK, F.ceil(F.col("all") / F.col("load")).cast("int").alias("salts")))
-    hinted = small(counts)
-    asked = queries.join(hinted, BLOCK).select(*BLOCK, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "fp")
-    dealt = members.join(hinted, BLOCK).select(*BLOCK, F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "fp")
+    counts = members.groupBy(*BLOCK).agg(F.sum("n").alias("all")).join(load, BLOCK).select(*BLOCK, F.ceil(F.col("all") / F.col("load")).cast("int").alias("salts"))
+    asked = queries.join(counts, BLOCK).select(*BLOCK, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "fp")
+    dealt = members.join(counts, BLOCK).select(*BLOCK, F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "fp")
     places = checkpointed(asked.unionByName(dealt))
     rows = sets.join(small(places), "fp").repartition(*BLOCK, "salt").sortWithinPartitions(*BLOCK, "salt", "role")
 
@@ -237,7 +236,7 @@ def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: i
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
 
     links = checkpointed(mapped(rows, run, "a binary, b binary"))
-    forget(counts, places)
+    forget(places)
     return links
 
 
@@ -253,23 +252,21 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     rows = checkpointed(sketches(docs, words, id_col, text_col))
     classes = rows.where(F.col("fp").isNotNull()).groupBy("fp", "n_shingles", "bands").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = checkpointed(classes)
-    banded = classes.where(F.col("rep").isNotNull()).select("fp", F.explode("bands").alias("key"))
-    hubs = checkpointed(banded.groupBy("key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"))
-    pairs = checkpointed(banded.join(small(hubs), "key").where("fp <> hub").groupBy("hub", "fp").agg(F.count(F.lit(1)).alias("shared")))
+    banded = classes.where(F.col("rep").isNotNull()).select("fp", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    hubs = checkpointed(banded.groupBy("key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "hub"))
+    pairs = checkpointed(banded.join(small(hubs), "key").where("fp <> hub").groupBy("hub", "fp", "n").agg(F.count(F.lit(1)).alias("shared")))
 
     involved = pairs.select("fp").union(pairs.select("hub")).distinct()
     known = checkpointed(classes.join(involved, "fp", "left_semi").select("fp", F.col("n_shingles").alias("n"), "rep"))
     sets = full_sets(docs, known.select(F.col("rep").alias("id")).distinct(), words, id_col, text_col)
-    sized = checkpointed(pairs.join(small(known.select("fp", "n")), "fp"))
-    linked = _linked(sized, known, sets, percent)
+    linked = _linked(pairs, known, sets, percent)
 
     roots = linked.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(linked.select("b", "b").distinct())
     reps = classes.select("fp", "rep", "copies").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = reps.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("__n")).where(F.col("__n") > 1).drop("__n")
-    groups = checkpointed(groups)
-    found = checkpointed(reps.join(small(groups), "root").select("fp", "component_id"))
+    found = checkpointed(reps.join(groups, "root").select("fp", "component_id"))
     out = rows.select("id", "n_shingles", "fp").join(small(found), "fp", "left")
-    forget(classes, hubs, pairs, known, sets, sized, linked, groups)
+    forget(classes, hubs, pairs, known, sets, linked)
     # A row whose set no other has is alone, whatever its id.
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
@@ -277,11 +274,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
 
 def _linked(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The components (see connected_components) of the links among the members of each hub and the hub itself, from
-    pairs (hub, fp, shared, n)."""
+    pairs (hub, fp, n, shared)."""
     none = pairs.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
 
     def joined(linked: DataFrame, links: DataFrame) -> DataFrame:
-        out = connected_components(linked.unionByName(links))
+        out = connected_components(linked.unionByName(links), kept=True)
         forget(links)
         return out
 
@@ -324,28 +321,24 @@ def _unmet(placed: DataFrame, asked: list[DataFrame], ask: int, percent: int) ->
     after the pass."""
     sizes = placed.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("many"))
     most = sizes.groupBy("hub").agg(F.max(F.struct("many", "root")).alias("most"), F.sum("many").alias("all"))
-    split = checkpointed(most.where(F.col("all") > F.col("most.many")).select("hub", F.col("most.root").alias("main")))
-    both = placed.join(small(split), "hub")
+    split = most.where(F.col("all") > F.col("most.many")).select("hub", F.col("most.root").alias("main"))
+    both = placed.join(split, "hub")
     open_ = both.where("root <> main").select("hub", "fp", "n")
     for done in asked:
         open_ = open_.join(done.select("hub", "fp"), ["hub", "fp"], "left_anti")
-    open_ = checkpointed(open_)
-    if open_.isEmpty():
-        return None, None, [placed, split, open_]
-    totals = open_.groupBy("hub").agg(F.count(F.lit(1)).alias("left"))
-    drawn = F.pmod(F.xxhash64("fp", F.lit(ask)), F.col("left")) < ask
+    totals = open_.groupBy("hub").agg(F.count(F.lit(1)).alias("left"), F.min("fp").alias("one"))
+    drawn = (F.pmod(F.xxhash64("fp", F.lit(ask)), F.col("left")) < ask) | (F.col("fp") == F.col("one"))
     taken = checkpointed(open_.join(totals, "hub").where(drawn).select("hub", "fp", "n"))
     asked.append(taken)
+    if taken.isEmpty():
+        return None, None, [placed]
     # Linked sets differ in size by a factor of 100 / percent at most, so by one class at most.
     size = F.floor(F.log("n") / math.log(100 / percent * (1 + 1e-9))).cast("long")
     near = taken.select(F.col("hub").alias("block"), F.explode(F.sequence(size - 1, size + 1)).alias("size"), "fp", "n")
     chunks = near.groupBy("block", "size").agg(F.ceil(F.sum("n") / QUERIES).cast("int").alias("chunks"))
-    chunks = checkpointed(chunks)
-    scratch = [placed, split, open_, chunks]
-    chunks = small(chunks)
     queries = near.join(chunks, ["block", "size"]).select("block", "size", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), "fp", "n")
     members = both.select(F.col("hub").alias("block"), size.alias("size"), "fp", "n").join(chunks, ["block", "size"])
-    return queries, members.select("block", "size", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "fp", "n"), scratch
+    return queries, members.select("block", "size", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "fp", "n"), [placed]
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
