@@ -49,6 +49,6 @@ def test_no_task_sorts_all_scores(spark):
         assert windows
     text = plan(catalog.QUERIES["roc_points"](spark, SF))
     assert not re.search(r"Window \[[^\]]*\], \[label#\d+\], \[score", text)
-    assert "WindowGroupLimit" in plan(catalog.QUERIES["ndcg"](spark, SF))
+    assert "TakeOrderedAndProject" in plan(catalog.QUERIES["ndcg"](spark, SF))
     for name in ("topic_prevalence", "describe_scores"):
         assert "percentile" not in plan(catalog.QUERIES[name](spark, SF))

@@ -100,3 +100,21 @@ def test_signal_plans(spark):
     topics = spark.createDataFrame([("opioid", "relapse")], "substance string, topic string")
     timely = signal.timeliness(official, alerts, out["leads"], topics)
     assert timely["mrr"].count() == 1 and timely["lag_summary"].count() == 1
+
+
+def test_models_are_asked_in_turn(spark):
+    def broken(prompt):
+        raise RuntimeError("down")
+
+    def talkative(prompt):
+        return "I think it is high"
+
+    def short(prompt):
+        return None if "odd" in prompt else '{"risk_level": "low"}'
+
+    df = spark.createDataFrame([(0, "a text"), (1, "an odd text"), (2, None)], "i int, t string")
+    rows = {r["i"]: r for r in models.ask_model(df, [broken, talkative, short], text="t", retries=2, pause=0).collect()}
+    assert [(rows[i]["method"], rows[i]["model"], rows[i]["reply"]["risk_level"]) for i in range(3)] == [("llm", "short", "low"), ("fallback", None, "medium"), ("fallback", None, "medium")]
+    notes = {r["i"]: r for r in models.summarise(df, [broken, talkative], prompt="t", retries=2, pause=0).collect()}
+    assert notes[0]["summary"] == "I think it is high" and notes[0]["model"] == "talkative" and notes[2]["method"] == "fallback"
+    assert models.summarise(df, None, prompt="t").first()["method"] == "fallback"

@@ -54,34 +54,71 @@ REPLY = T.StructType(
 )
 
 
-def ask_model(posts: DataFrame, client: Client | None, *, text: str, retries: int = 3, pause: float = 1.5) -> DataFrame:
-    """Adds reply (REPLY) and method, "llm" or "fallback". Filter the rows first: every row costs a call.
-
-    Without a client, or where all tries fail or the reply is no JSON, the reply asks for a human's review.
-    """
-    from tidemark.functions.text import json_body
-
-    fallback = F.struct(F.lit("medium").alias("risk_level"), F.lit(0.0).alias("confidence"), *[F.array().cast("array<string>").alias(c) for c in ("substances_detected", "signal_types", "evidence_spans")], F.lit("no model").alias("reasoning"), F.lit("").alias("analyst_summary"), F.lit(True).alias("requires_human_review"))
-    if client is None:
-        return posts.withColumns({"reply": fallback, "method": F.lit("fallback")})
-
+def _replies(prompt: Column, clients: list, *, retries: int, pause: float, good) -> Column:
+    """struct(text, model) of the first client whose reply is good, each tried in its order up to retries times with
+    growing pauses; nulls where none has one. Runs on executors, a batch at a time."""
     import pandas as pd
 
     def call(texts):
         import time
 
         def one(t):
-            for k in range(retries):
-                try:
-                    return client(t)
-                except Exception:
+            for client in clients if t is not None else ():
+                for k in range(retries):
+                    try:
+                        reply = client(t)
+                        if good(reply):
+                            return reply, getattr(client, "name", getattr(client, "__name__", type(client).__name__))
+                    except Exception:
+                        pass  # a client that fails is tried again, and then the next one is
                     time.sleep(pause * 2**k if k + 1 < retries else 0)
-            return None
+            return None, None
+
+        return pd.DataFrame([one(t) for t in texts], columns=["text", "model"], dtype=object)
+
+    call.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(call, "text string, model string")(prompt)
+
 
-        return texts.map(one, na_action="ignore")
+def _listed(client) -> list:
+    return [] if client is None else list(client) if isinstance(client, (list, tuple)) else [client]
 
-    call.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    raw = F.pandas_udf(call, "string")(F.col(text))
-    parsed = posts.withColumn("__r", F.from_json(json_body(raw), REPLY))
+
+def _is_json(reply: str | None) -> bool:
+    import json
+    import re
+
+    try:
+        found = json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", (reply or "").strip()))
+    except ValueError:
+        return False
+    return isinstance(found, dict) and found.get("risk_level") in ("low", "medium", "high")
+
+
+def ask_model(posts: DataFrame, client: Client | list[Client] | None, *, text: str, retries: int = 3, pause: float = 1.5) -> DataFrame:
+    """Adds reply (REPLY), method ("llm" or "fallback") and model, the name of the client that replied. Filter the rows
+    first: every row costs a call.
+
+    Of several clients the next one is asked where all tries of the one before fail or its reply is no JSON with a
+    known risk level. Without a client, or where all fail, the reply asks for a human's review.
+    """
+    from tidemark.functions.text import json_body
+
+    fallback = F.struct(F.lit("medium").alias("risk_level"), F.lit(0.0).alias("confidence"), *[F.array().cast("array<string>").alias(c) for c in ("substances_detected", "signal_types", "evidence_spans")], F.lit("no model").alias("reasoning"), F.lit("").alias("analyst_summary"), F.lit(True).alias("requires_human_review"))
+    clients = _listed(client)
+    if not clients:
+        return posts.withColumns({"reply": fallback, "method": F.lit("fallback"), "model": F.lit(None).cast("string")})
+    parsed = posts.withColumn("__a", _replies(F.col(text), clients, retries=retries, pause=pause, good=_is_json)).withColumn("__r", F.from_json(json_body(F.col("__a.text")), REPLY))
     ok = F.col("__r.risk_level").isin("low", "medium", "high")
-    return parsed.withColumns({"reply": F.when(ok, F.col("__r")).otherwise(fallback), "method": F.when(ok, "llm").otherwise("fallback")}).drop("__r")
+    return parsed.withColumns({"reply": F.when(ok, F.col("__r")).otherwise(fallback), "method": F.when(ok, "llm").otherwise("fallback"), "model": F.when(ok, F.col("__a.model"))}).drop("__r", "__a")
+
+
+def summarise(prompts: DataFrame, client: Client | list[Client] | None, *, prompt: str = "prompt", retries: int = 3, pause: float = 1.5, fallback: str = "No summary: no model replied.") -> DataFrame:
+    """Adds summary, method ("llm" or "fallback") and model: what the first client with a reply that is not blank says
+    of each prompt. Clients and tries go as in ask_model(); a null prompt gets the fallback."""
+    clients = _listed(client)
+    if not clients:
+        return prompts.withColumns({"summary": F.lit(fallback), "method": F.lit("fallback"), "model": F.lit(None).cast("string")})
+    asked = prompts.withColumn("__a", _replies(F.col(prompt), clients, retries=retries, pause=pause, good=lambda r: bool(r and r.strip())))
+    found = F.col("__a.text").isNotNull()
+    return asked.withColumns({"summary": F.when(found, F.trim("__a.text")).otherwise(fallback), "method": F.when(found, "llm").otherwise("fallback"), "model": F.col("__a.model")}).drop("__a")
