@@ -11,7 +11,7 @@
 5. Members of one hub that are still in different components have not all met. Those outside the hub's largest
    component are the queries of further passes: in blocks, against the hub's members of about their size, for sets
    of other sizes cannot be similar enough. A pass takes a few queries of each hub, the next one eight times as many
-   of those that are then still outside, until none is left. So every pair that shares a band is either compared or
+   of those that are then still outside, until none is left to ask. So every pair that shares a band is either compared or
    already connected, without all pairs of a group ever being made.
 """
 
@@ -34,8 +34,8 @@ from tidemark.llm.components import connected_components
 BANDS, ROWS = 48, 6
 #: Elements of the queries of a block, and the least number of elements of the members that one task compares with them.
 QUERIES, MEMBERS = 1 << 19, 1 << 14
-#: Queries that the first of the further passes takes from a hub.
-FIRST_QUERIES = 64
+#: Members of a hub of which the first of the further passes asks those outside the main component.
+FIRST_QUERIES = 128
 #: Elements that are sketched at once.
 BATCH_ELEMENTS = 1 << 16
 
@@ -206,11 +206,13 @@ def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: i
     queries go to each. Rows arrive sorted, queries first, so that a task holds the queries of one block and one
     member at a time.
     """
-    load = queries.groupBy(*BLOCK).agg(F.greatest(F.sum("n"), F.lit(MEMBERS)).alias("load"))
-    counts = members.groupBy(*BLOCK).agg(F.sum("n").alias("all")).join(load, BLOCK).select(*BLOCK, F.ceil(F.col("all") / F.col("load")).cast("int").alias("salts"))
-    asked = queries.join(counts, BLOCK).select(*BLOCK, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "fp")
-    dealt = members.join(counts, BLOCK).select(*BLOCK, F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "fp")
-    places = checkpointed(asked.unionByName(dealt))
+    row = lambda rows, role: rows.select(*BLOCK, F.lit(role).alias("role"), "fp", "n")
+    given = checkpointed(row(queries, 0).unionByName(row(members, 1)))
+    of = lambda role: F.sum(F.when(F.col("role") == role, F.col("n")))
+    counts = given.groupBy(*BLOCK).agg(of(0).alias("asked"), of(1).alias("all")).where("asked > 0 AND all > 0")
+    counts = counts.select(*BLOCK, F.ceil(F.col("all") / F.greatest("asked", F.lit(MEMBERS))).cast("int").alias("salts"))
+    salts = F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")))
+    places = checkpointed(given.join(counts, BLOCK).select(*BLOCK, F.explode(salts).alias("salt"), "role", "fp"))
     rows = sets.join(small(places), "fp").repartition(*BLOCK, "salt").sortWithinPartitions(*BLOCK, "salt", "role")
 
     def run(batches):
@@ -236,7 +238,7 @@ def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: i
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
 
     links = checkpointed(mapped(rows, run, "a binary, b binary"))
-    forget(places)
+    forget(given, places)
     return links
 
 
@@ -290,22 +292,22 @@ def _linked(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -
 
     first = checkpointed(pairs.groupBy("fp", "n").agg(F.max(F.struct("shared", "hub")).alias("best")).select("fp", "n", "best.hub"))
     linked = met(first, none)
-    rest = checkpointed(_rooted(_rooted(pairs, linked, "hub", "hub_root"), linked, "fp", "root").where("root <> hub_root").join(first, ["hub", "fp"], "left_anti"))
+    rest = checkpointed(_rooted(_rooted(pairs, linked, "hub", "hub_root"), linked, "fp", "root").where("root <> hub_root").select("hub", "fp", "n"))
     if not rest.isEmpty():
         linked, old = met(rest, linked), linked
         forget(old)
     forget(first, rest)
 
-    asked, ask = [], FIRST_QUERIES
+    split = _split(_rooted(pairs, linked, "fp", "root"))
+    asked = 0
     while True:
-        placed = checkpointed(_rooted(pairs, linked, "fp", "root").select("hub", "fp", "n", "root"))
-        queries, members, scratch = _unmet(placed, asked, ask, percent)
+        placed = checkpointed(_rooted(_rooted(pairs.join(small(split), "hub"), linked, "fp", "root"), linked, "first", "main").select("hub", "fp", "n", F.col("all").alias("place"), "root", "main"))
+        queries, members, asked = _unmet(placed, asked, percent)
         if queries is None:
-            forget(*scratch, *asked)
+            forget(placed, split)
             return linked
         linked, old = joined(linked, verified(queries, members, sets, percent)), linked
-        forget(*scratch, old)
-        ask *= 8
+        forget(placed, old)
 
 
 def _rooted(rows: DataFrame, linked: DataFrame, col: str, name: str) -> DataFrame:
@@ -314,31 +316,35 @@ def _rooted(rows: DataFrame, linked: DataFrame, col: str, name: str) -> DataFram
     return rows.join(small(roots), col, "left").withColumn(name, F.coalesce("__root", col)).drop("__root")
 
 
-def _unmet(placed: DataFrame, asked: list[DataFrame], ask: int, percent: int) -> tuple[DataFrame | None, DataFrame | None, list[DataFrame]]:
-    """Queries and members of a further pass, both (BLOCK, fp, n): of each hub whose members lie in several
-    components, about ask of those outside the largest one that no pass has asked before, and the members of about
-    the same size. None if nothing is left to ask. asked gets the new queries; the list names what may be forgotten
-    after the pass."""
+def _split(placed: DataFrame) -> DataFrame:
+    """(hub, first, all): the hubs whose members (hub, fp, root) lie in several components, a class of the largest one,
+    and how many members there are."""
     sizes = placed.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("many"))
     most = sizes.groupBy("hub").agg(F.max(F.struct("many", "root")).alias("most"), F.sum("many").alias("all"))
-    split = most.where(F.col("all") > F.col("most.many")).select("hub", F.col("most.root").alias("main"))
-    both = placed.join(split, "hub")
-    open_ = both.where("root <> main").select("hub", "fp", "n")
-    for done in asked:
-        open_ = open_.join(done.select("hub", "fp"), ["hub", "fp"], "left_anti")
-    totals = open_.groupBy("hub").agg(F.count(F.lit(1)).alias("left"), F.min("fp").alias("one"))
-    drawn = (F.pmod(F.xxhash64("fp", F.lit(ask)), F.col("left")) < ask) | (F.col("fp") == F.col("one"))
-    taken = checkpointed(open_.join(totals, "hub").where(drawn).select("hub", "fp", "n"))
-    asked.append(taken)
-    if taken.isEmpty():
-        return None, None, [placed]
+    return checkpointed(most.where(F.col("all") > F.col("most.many")).select("hub", F.col("most.root").alias("first"), "all"))
+
+
+def _unmet(placed: DataFrame, asked: int, percent: int) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """Queries and members of a further pass, both (BLOCK, fp, n), and the place up to which members are then asked.
+
+    A hub's main component is that of one class, so it only grows, and a member that is outside it at last was outside
+    it all along. Members have a place, by their hash, among as many as there are; those from place asked on that are
+    outside have not been asked, and the ones up to the next bound are the queries. None if nobody is left to ask.
+    """
+    placed = placed.withColumn("place", F.pmod(F.xxhash64("fp"), F.col("place")))
+    left = placed.where((F.col("root") != F.col("main")) & (F.col("place") >= asked))
+    until = max(FIRST_QUERIES, 8 * asked)
+    if left.isEmpty():
+        return None, None, until
+    while (near := left.where(F.col("place") < until)).isEmpty():
+        until *= 8
     # Linked sets differ in size by a factor of 100 / percent at most, so by one class at most.
     size = F.floor(F.log("n") / math.log(100 / percent * (1 + 1e-9))).cast("long")
-    near = taken.select(F.col("hub").alias("block"), F.explode(F.sequence(size - 1, size + 1)).alias("size"), "fp", "n")
+    near = near.select(F.col("hub").alias("block"), F.explode(F.sequence(size - 1, size + 1)).alias("size"), "fp", "n")
     chunks = near.groupBy("block", "size").agg(F.ceil(F.sum("n") / QUERIES).cast("int").alias("chunks"))
     queries = near.join(chunks, ["block", "size"]).select("block", "size", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), "fp", "n")
-    members = both.select(F.col("hub").alias("block"), size.alias("size"), "fp", "n").join(chunks, ["block", "size"])
-    return queries, members.select("block", "size", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "fp", "n"), [placed]
+    members = placed.select(F.col("hub").alias("block"), size.alias("size"), "fp", "n").join(chunks, ["block", "size"])
+    return queries, members.select("block", "size", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "fp", "n"), until
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
