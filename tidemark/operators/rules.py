@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.functions.text import count_phrases, quoted
+from tidemark.functions.text import all_anchors, bits, bound, count_phrases, matches, may_hold, quoted, unless
 
 
 def any_substring(c: Column, terms: Iterable[str]) -> Column:
@@ -64,9 +64,9 @@ def _hits(c: Column, patterns: Iterable[str]) -> Column:
     return reduce(lambda a, b: a + b, [c.rlike("(?i)" + p).cast("int") for p in patterns], F.lit(0))
 
 
-def _any(c: Column, patterns: Iterable[str]) -> Column:
-    """Whether one of the patterns occurs, by one search for all of them."""
-    return c.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+def _any(c: Column, low: Column, patterns: Iterable[str]) -> Column:
+    """Whether one of the patterns occurs; each is searched only in texts that can have it. low is c in lower case."""
+    return reduce(lambda a, b: a | b, [matches(c, "(?i)" + p, low) for p in patterns])
 
 
 def substance_score(text: str, substances: str, *, weights=None, boosts: Mapping[str, float] | None = None, negation=config.NEGATION, past=config.PAST) -> Column:
@@ -82,29 +82,29 @@ def substance_score(text: str, substances: str, *, weights=None, boosts: Mapping
         plain = base
         base = lambda s: F.least(plain(s) + F.coalesce(F.element_at(extra, s), F.lit(0.0)), F.lit(1.0))
     t = F.col(text)
-    factor = F.when(t.rlike("(?i)" + negation), 0.20).when(t.rlike("(?i)" + past), 0.50).otherwise(1.0)
-    return F.round(F.coalesce(F.array_max(F.transform(F.col(substances), lambda s: base(s) * factor)), F.lit(0.0)), 3)
+    factor = bound(F.lower(t), lambda low: F.when(matches(t, "(?i)" + negation, low), 0.20).when(matches(t, "(?i)" + past, low), 0.50).otherwise(1.0))
+    most = F.array_max(F.transform(F.col(substances), base))  # the factor is one for all, and only looked for if there is one
+    return F.round(F.coalesce(F.when(F.size(substances) > 0, most * factor), F.lit(0.0)), 3)
 
 
-def distress_score(text: str, signals: str, *, weights=None, urgency=config.URGENCY, escalation=config.ESCALATION) -> Column:
-    """The largest of the categories' weights, .20 for three categories, .95 for urgency, .70 for escalation."""
+def distress_score(text: str, signals: str, *, weights=None, urgency=config.URGENCY, escalation=config.ESCALATION, some: Column | None = None) -> Column:
+    """The largest of the categories' weights, .20 for three categories, .95 for urgency, .70 for escalation. some is
+    false only where no pattern of the last two occurs."""
     weights = config.DISTRESS_WEIGHTS if weights is None else weights
     table = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])
     of = F.array_max(F.transform(F.map_keys(signals), lambda k: F.coalesce(F.element_at(table, k), F.lit(config.DEFAULT_DISTRESS_WEIGHT))))
-    zero = F.lit(0.0)
-    best = F.greatest(
-        F.coalesce(of, zero),
-        F.when(F.size(signals) >= 3, 0.20).otherwise(zero),
-        F.when(_any(F.col(text), urgency), 0.95).otherwise(zero),
-        F.when(_any(F.col(text), escalation), 0.70).otherwise(zero),
-    )
+    t, zero = F.col(text), F.lit(0.0)
+    told = bound(F.lower(t), lambda low: F.when(_any(t, low, urgency), 0.95).when(_any(t, low, escalation), 0.70).otherwise(zero))
+    best = F.greatest(F.coalesce(of, zero), F.when(F.size(signals) >= 3, 0.20).otherwise(zero), unless(some, told, zero))
     return F.round(F.least(best, F.lit(1.0)), 3)
 
 
-def behavior_score(text: str, groups=None) -> Column:
-    """The largest weight among the groups of which a pattern occurs."""
-    best = [F.when(_any(F.col(text), patterns), float(w)).otherwise(0.0) for w, patterns in (config.BEHAVIOURS if groups is None else groups).values()]
-    return F.round(F.greatest(*best, F.lit(0.0)), 3)
+def behavior_score(text: str, groups=None, *, some: Column | None = None) -> Column:
+    """The largest weight among the groups of which a pattern occurs. some is false only where no pattern does."""
+    t, zero = F.col(text), F.lit(0.0)
+    groups = list((config.BEHAVIOURS if groups is None else groups).values())
+    best = lambda low: F.greatest(*[F.when(_any(t, low, patterns), float(w)).otherwise(zero) for w, patterns in groups], zero, zero)
+    return F.round(unless(some, bound(F.lower(t), best), zero), 3)
 
 
 def evidence(text: str, substances: str, signals: str, groups=None) -> Column:
@@ -124,13 +124,16 @@ def classify(posts: DataFrame, *, text: str = "processed_text", substances: str
     high: a combined score of .55, the overdose category, behaviour of .90, or substance .90 and distress .70;
     medium: .30.
     """
-    scored = posts.withColumns(
+    behaviours = config.BEHAVIOURS if groups is None else groups
+    searched = [[*config.URGENCY, *config.ESCALATION], [p for _, patterns in behaviours.values() for p in patterns]]
+    known = posts.withColumn("__m", may_hold(F.lower(text), [all_anchors("(?i)" + p for p in patterns) for patterns in searched]))
+    scored = known.withColumns(
         {
             "substance_score": substance_score(text, substances, weights=weights, boosts=boosts),
-            "distress_score": distress_score(text, signals),
-            "behavior_score": behavior_score(text, groups),
+            "distress_score": distress_score(text, signals, some=bits("__m", 1)),
+            "behavior_score": behavior_score(text, groups, some=bits("__m", 2)),
         }
-    )
+    ).drop("__m")
     return combine(scored, hard=F.coalesce(F.array_contains(F.map_keys(signals), "overdose"), F.lit(False)))
 
 

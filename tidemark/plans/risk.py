@@ -32,9 +32,16 @@ def preprocess(posts: DataFrame, *, text: str, id_col: str, time: str | None = N
     lexicon = config.SLANG if lexicon is None else lexicon
     posts = spread(posts)
     rows = distinct_posts(posts, text=text, id_col=id_col) if dedup else posts.where(F.col(text).isNotNull())
-    processed = X.normalize_terms(X.scrub(X.clean(text, unescape=unescape)), lexicon)
-    out = rows.select(F.col(id_col).alias("post_id"), *([F.col(time).alias("timestamp")] if time else []), *carry, F.col(text).alias("original_text"), processed.alias("processed_text"))
-    out = out.withColumns({"substances_detected": X.whole_terms("processed_text", lexicon.values()), "distress_signals": X.phrase_hits("processed_text", signals)})
+    cleaned = F.lower(X.scrub(X.clean(text, unescape=unescape)))
+    out = rows.select(F.col(id_col).alias("post_id"), *([F.col(time).alias("timestamp")] if time else []), *carry, F.col(text).alias("original_text"), cleaned.alias("__low"))
+    # One search for all terms and one for all phrases say which texts need the searches for each. A text with a term
+    # changes, so that anything may occur in it.
+    signals = config.DISTRESS_SIGNALS if signals is None else signals
+    whole = lambda terms: [f"{X.EDGE}{t}{X.EDGE}" for t in terms]
+    out = out.withColumn("__m", X.may_hold(F.col("__low"), [whole(lexicon), whole(lexicon.values()), [p for v in signals.values() for p in v]]))
+    out = out.withColumn("processed_text", X.normalize_terms("__low", lexicon, some=X.bits("__m", 1)))
+    found = {"substances_detected": X.whole_terms("processed_text", lexicon.values(), some=X.bits("__m", 1 | 2)), "distress_signals": X.phrase_hits("processed_text", signals, some=X.bits("__m", 1 | 4))}
+    out = out.withColumns(found).drop("__low", "__m")
     return out.withColumns(
         {
             "distress_count": F.size("distress_signals"),
