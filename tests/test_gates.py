@@ -73,3 +73,16 @@ def test_null_texts(spark):
 def test_texts_are_processed_once_and_searched_for_all_terms_at_once(spark):
     plan = catalog.QUERIES["rule_pipeline_domain"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"ArrowEvalPython \[found", plan)) == 2 and plan.count("mary jane") <= 4
+
+
+def test_described_scores_are_computed_once(spark):
+    from tidemark.operators import decide
+
+    df = catalog.QUERIES["describe_scores"](spark, SF)
+    df.collect()
+    done = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert done.count("FileScan") == 1
+    one = decide.describe(spark.createDataFrame([(1.0,), (None,), (1.0,), (4.0,)], "x double"), "x").first()
+    assert tuple(round(v, 6) for v in one) == (3, 2.0, 1.732051, 1.0, 1.0, 1.0, 2.5, 4.0)
+    assert tuple(decide.describe(spark.createDataFrame([], "x double"), "x").first()) == (0, *[None] * 7)
+    assert decide.describe(spark.createDataFrame([(7.0,)], "x double"), "x").first()["std"] is None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.order import quantiles
+from tidemark.operators.order import counted, counted_quantiles
 
 
 def recommendations(report: DataFrame, *, states: str = "Unknown", lead_months: int = 3) -> DataFrame:
@@ -132,10 +132,15 @@ def earliest_median_lag(summary: DataFrame, *, key: str = "substance") -> DataFr
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """count, mean, stddev, min, quartiles and max of a column, as one row. Quartiles are exact, and no task sorts all values."""
-    one = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
-    marks = quantiles(df.select(F.lit(1).alias("__one"), column), ["__one"], column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return one.withColumn("__one", F.lit(1)).join(marks, "__one", "left").select("n", "mean", "std", "min", "q25", "q50", "q75", "max")
+    """count, mean, stddev, min, quartiles and max of a column, as one row. Quartiles are exact, and no task sorts all
+    values. All come from the counts of distinct values, so that the column is computed once."""
+    counts = counted(df, [], column)
+    x, n = F.col("__x").cast("double"), F.when(F.col("__x").isNotNull(), F.col("__n"))
+    one = counts.agg(F.coalesce(F.sum(n), F.lit(0).cast("long")).alias("n"), (F.sum(x * n) / F.sum(n)).alias("mean"), F.min("__x").alias("min"), F.max("__x").alias("max"))
+    off = counts.crossJoin(F.broadcast(one.select("mean"))).agg(F.sum((x - F.col("mean")) * (x - F.col("mean")) * n).alias("__ss"), F.sum(n).alias("__all"))
+    std = off.select(F.when(F.col("__all") > 1, F.sqrt(F.col("__ss") / (F.col("__all") - 1))).alias("std"))
+    marks = counted_quantiles(counts.withColumn("__one", F.lit(1)), ["__one"], {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return one.crossJoin(std).withColumn("__one", F.lit(1)).join(marks, "__one", "left").select("n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def first_existing(df: DataFrame, names: list[str]) -> str:

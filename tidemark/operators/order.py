@@ -41,10 +41,24 @@ def running(counts: DataFrame, keys: list[str], value: str, sums: list[str], *,
     return met.select(*counts.columns, *[(F.col(f"__w_{c}") + F.col(f"__o_{c}")).alias(f"before_{c}") for c in sums], *[f"all_{c}" for c in sums])
 
 
+def counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, __x, __n): the distinct values of a column and how often each occurs.
+
+    The value comes out as a maximum of its group: a filter on a result of an aggregation stays above it, while one on
+    what rows are grouped by would be pushed down to the rows, with the whole expression of the value once more.
+    """
+    return rows.select(*keys, F.col(value).alias("__g")).groupBy(*keys, "__g").agg(F.max("__g").alias("__x"), F.count(F.lit(1)).alias("__n")).drop("__g")
+
+
 def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """(keys, <name>...): the exact quantiles of a value, linear between neighbours; nulls and not-a-numbers don't count."""
-    x = F.col(value).cast("double")
-    counts = rows.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, x.alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    return counted_quantiles(counted(rows, keys, value), keys, wanted)
+
+
+def counted_quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
+    """quantiles() of what counted() gives."""
+    x = F.col("__x").cast("double")
+    counts = counts.select(*keys, x.alias("__x"), "__n").where(x.isNotNull() & ~F.isnan(x))
     placed = running(counts, keys, "__x", ["__n"])
     at = {name: F.lit(float(q)) * (F.col("all___n") - 1) for name, q in wanted.items()}
     # The rows ranked from before to before + n - 1 have the value; the least one that reaches a rank holds it.

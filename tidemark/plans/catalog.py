@@ -477,7 +477,8 @@ def stable_ids(spark, d):
 
 def _score_table(spark, d) -> DataFrame:
     docs = spread(table(spark, d, "documents"))
-    terms = F.filter(F.array(*[F.when(F.contains(F.lower("text"), F.lit(t)), v) for t, v in (("thnt", "alpha"), ("onst", "beta"), ("für", "gamma"), ("les", "delta"))]), lambda x: x.isNotNull())
+    marks = (("thnt", "alpha"), ("onst", "beta"), ("für", "gamma"), ("les", "delta"))
+    terms = F.filter(X.bound(F.lower("text"), lambda low: F.array(*[F.when(F.contains(low, F.lit(t)), v) for t, v in marks])), lambda x: x.isNotNull())
     return docs.select(F.col("doc_id").alias("post_id"), "text", terms.alias("substances"), X.phrase_hits("text", SIGNALS).alias("signals"))
 
 
