@@ -86,3 +86,7 @@ def test_described_scores_are_computed_once(spark):
     assert tuple(round(v, 6) for v in one) == (3, 2.0, 1.732051, 1.0, 1.0, 1.0, 2.5, 4.0)
     assert tuple(decide.describe(spark.createDataFrame([], "x double"), "x").first()) == (0, *[None] * 7)
     assert decide.describe(spark.createDataFrame([(7.0,)], "x double"), "x").first()["std"] is None
+
+
+def test_report_searches_for_all_terms_at_once(spark):
+    assert "ArrowEvalPython [found" in catalog.QUERIES["quality_report"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
