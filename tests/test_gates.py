@@ -90,3 +90,40 @@ def test_described_scores_are_computed_once(spark):
 
 def test_report_searches_for_all_terms_at_once(spark):
     assert "ArrowEvalPython [found" in catalog.QUERIES["quality_report"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_report_counts_copies_once_without_moving_texts(spark):
+    plan = catalog.QUERIES["quality_report"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # the one that drops copies would shuffle, and beyond a broadcast sort, all texts
+    some = texts(60)
+    rows = [*enumerate(some), *((100 + i, t) for i, t in enumerate(some[::2] * 3)), (900, None), (901, None)]
+    df = spark.createDataFrame(rows, "i long, t string").repartition(5)
+    once = risk.quality_report(risk.preprocess(df, text="t", id_col="i")).first()
+    keyed = risk.preprocess(df.withColumn("h", risk.text_hash("t")), text="t", id_col="i", carry=["h"], dedup=False)
+    assert risk.quality_report(keyed, key="h").first() == once and once["n_posts"] == len(set(some)) and once["n_empty"] > 0
+    none = spark.createDataFrame([], "i long, t string, h string")
+    assert tuple(risk.quality_report(risk.preprocess(none, text="t", id_col="i", carry=["h"], dedup=False), key="h").first()) == (0, None, None, 0, 0, None)
+
+
+def test_boundaries_behind_terms_are_those_before_them(spark):
+    rng = random.Random(5)
+    terms = ["les", "des", "in the", "a-b", "-x", "x.", "é", "für", "mdma"]
+    parts = [*terms, *terms, "l", "x", " ", " ", "\n", "_", "-", ".", "é", "̀", "7", "中", "🙂", "İ", "[PHONE]"]
+    found = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 8))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in found], "t string")
+    both = [(rf"\b{X.quoted(t)}\b", X.whole(t)) for t in terms] + [(r"\b(?:" + "|".join(map(X.quoted, terms)) + r")\b", "|".join(map(X.whole, terms)))]
+    checks = [F.regexp_replace("t", a, "<$0>") == F.regexp_replace("t", b, "<$0>") for a, b in both]
+    assert df.agg(*[F.every(c) for c in checks]).first() == (True,) * len(checks)
+    assert all(df.where(F.col("t").rlike(b)).count() > 5 for _, b in both)
+
+
+def test_digits_tell_of_phones_and_zips(spark):
+    rng = random.Random(7)
+    parts = ["12", "345", "6789", "1", "-", ".", " ", "a", "_", "é", "٣", "a@b.org", "555-123-4567", "64110-1234"]
+    df = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(rng.randint(1, 9))),) for _ in range(1500)], "t string")
+    plain = F.col("t")
+    for pattern, new in ((X.EMAIL, "[EMAIL]"), (X.PHONE, "[PHONE]"), (X.ZIP, "[ZIP]")):
+        plain = F.regexp_replace(plain, pattern, new)
+    got = df.select("t", X.scrub("t").alias("s"), plain.alias("p")).collect()
+    assert [r["s"] for r in got] == [r["p"] for r in got]
+    assert all(sum(mark in r["s"] for r in got) > 20 for mark in ("[EMAIL]", "[PHONE]", "[ZIP]"))

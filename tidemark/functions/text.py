@@ -37,11 +37,18 @@ LOOSE_PHONE = r"\b\d[\d\s\-\(\)]{7,}\d\b"
 TITLED_NAME = r"\b(Mr|Mrs|Ms)\. [A-Z][a-z]+\b"
 # End of fixed values.
 
+#: What PHONE and ZIP begin with, but for the boundary: one search tells that a text has neither.
+DIGITS = r"\d{3}[-.]?\d{2}"
+
 
 def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _lower(c: Column | str, low: bool) -> Column:
+    return _column(c) if low else F.lower(_column(c))
+
+
 def bound(c: Column | str, f: Callable[[Column], Column]) -> Column:
     """f of c, which is evaluated once however often f uses it."""
     return F.element_at(F.transform(F.array(_column(c)), f), 1)
@@ -219,14 +226,16 @@ def scrub(c: Column | str, *, loose: bool = False, ner=None) -> Column:
 
     loose takes the wider patterns. ner is an optional column function for names and places, applied last.
     """
-    out = _column(c)
-    for pattern, new in ((LOOSE_EMAIL if loose else EMAIL, "[EMAIL]"), (LOOSE_PHONE if loose else PHONE, "[PHONE]"), (ZIP, "[ZIP]")):
-        out = replaced(out, pattern, new)
+    out = replaced(_column(c), LOOSE_EMAIL if loose else EMAIL, "[EMAIL]")
+    if loose:
+        out = replaced(replaced(out, LOOSE_PHONE, "[PHONE]"), ZIP, "[ZIP]")
+    else:
+        out = bound(out, lambda t: F.when(t.rlike(DIGITS), F.regexp_replace(F.regexp_replace(t, PHONE, "[PHONE]"), ZIP, "[ZIP]")).otherwise(t))
     return ner(out) if ner else out
 
 
 def has_pii(c: Column | str) -> Column:
-    return bound(c, lambda t: reduce(lambda a, b: a | b, [matches(t, p) for p in (EMAIL, PHONE, ZIP, TITLED_NAME)]))
+    return bound(c, lambda t: matches(t, EMAIL) | (t.rlike(DIGITS) & (t.rlike(PHONE) | t.rlike(ZIP))) | matches(t, TITLED_NAME))
 
 
 def quoted(term: str) -> str:
@@ -234,11 +243,13 @@ def quoted(term: str) -> str:
     return re.sub(r"([^\w ])", r"\\\1", term)
 
 
-def lexicon_passes(lexicon: Mapping[str, str]) -> list[tuple[str, str]]:
-    """(pattern, canonical) in an order that equals replacing term by term, the longest first.
+def whole(term: str) -> str:
+    """The pattern of a whole term. It looks for the term first, which is faster than to look for a boundary at each
+    character, and then back at the boundary before it: it matches where one with the boundary in front does."""
+    return rf"{quoted(term)}(?<=\b{quoted(term)})\b"
 
-    Neighbouring terms with one canonical share an alternation, as long as no canonical holds a term.
-    """
+
+def _term_passes(lexicon: Mapping[str, str]) -> list[tuple[list[str], str]]:
     ordered = sorted(lexicon, key=lambda t: -len(t))
     passes: list[tuple[list[str], str]] = []
     for term in ordered:
@@ -246,26 +257,34 @@ def lexicon_passes(lexicon: Mapping[str, str]) -> list[tuple[str, str]]:
             passes[-1][0].append(term)
         else:
             passes.append(([term], lexicon[term]))
-    return [(r"\b(?:" + "|".join(map(quoted, terms)) + r")\b", new) for terms, new in passes]
+    return passes
+
+
+def lexicon_passes(lexicon: Mapping[str, str]) -> list[tuple[str, str]]:
+    """(pattern, canonical) in an order that equals replacing term by term, the longest first.
+
+    Neighbouring terms with one canonical share an alternation, as long as no canonical holds a term.
+    """
+    return [(r"\b(?:" + "|".join(map(quoted, terms)) + r")\b", new) for terms, new in _term_passes(lexicon)]
 
 
-def normalize_terms(c: Column | str, lexicon: Mapping[str, str] | None = None, *, some: Column | None = None) -> Column:
+def normalize_terms(c: Column | str, lexicon: Mapping[str, str] | None = None, *, some: Column | None = None, low: bool = False) -> Column:
     """Lower-cases and replaces whole terms by their canonical forms, the longest first. some is false only where none
-    of the terms occurs."""
-    passes = lexicon_passes(config.SLANG if lexicon is None else lexicon)
+    of the terms occurs; low says that c is in lower case."""
+    passes = _term_passes(config.SLANG if lexicon is None else lexicon)
 
     def put(text: Column) -> Column:
         out = text
-        for pattern, new in passes:
-            out = replaced(out, pattern, new.replace("\\", r"\\").replace("$", r"\$"))
+        for terms, new in passes:
+            out = replaced(out, "|".join(map(whole, terms)), new.replace("\\", r"\\").replace("$", r"\$"))
         return unless(some, out, text)
 
-    return bound(F.lower(_column(c)), put)
+    return bound(_lower(c, low), put)
 
 
-def phrase_hits(c: Column | str, categories: Mapping[str, Iterable[str]] | None = None, *, some: Column | None = None) -> Column:
+def phrase_hits(c: Column | str, categories: Mapping[str, Iterable[str]] | None = None, *, some: Column | None = None, low: bool = False) -> Column:
     """map(category -> phrases that occur), without categories that have none; on lower case. some is false only where
-    none of the phrases occurs."""
+    none of the phrases occurs; low says that c is in lower case."""
     categories = {k: list(v) for k, v in (config.DISTRESS_SIGNALS if categories is None else categories).items()}
 
     def hits(text: Column) -> Column:
@@ -273,7 +292,7 @@ def phrase_hits(c: Column | str, categories: Mapping[str, Iterable[str]] | None
         parts = [x for k, v in categories.items() for x in (F.lit(k), F.filter(listed(v), lambda p: F.contains(text, p)))]
         return F.map_filter(F.create_map(*parts), lambda _, v: F.size(v) > 0)
 
-    return bound(F.lower(_column(c)), hits)
+    return bound(_lower(c, low), hits)
 
 
 def count_phrases(c: Column | str, phrases: Iterable[str]) -> Column:
@@ -281,11 +300,11 @@ def count_phrases(c: Column | str, phrases: Iterable[str]) -> Column:
     return bound(F.lower(_column(c)), lambda text: reduce(lambda a, p: a + F.contains(text, F.lit(p)).cast("int"), phrases, F.lit(0)))
 
 
-def whole_terms(c: Column | str, terms: Iterable[str], *, some: Column | None = None) -> Column:
-    """The sorted terms that occur as whole words. some is false only where none does."""
-    found = lambda text: F.array(*(F.when(F.contains(text, F.lit(t)) & text.rlike(rf"\b{quoted(t)}\b"), F.lit(t)) for t in sorted(set(terms))))
+def whole_terms(c: Column | str, terms: Iterable[str], *, some: Column | None = None, low: bool = False) -> Column:
+    """The sorted terms that occur as whole words. some is false only where none does; low says that c is in lower case."""
+    found = lambda text: F.array(*(F.when(F.contains(text, F.lit(t)) & text.rlike(whole(t)), F.lit(t)) for t in sorted(set(terms))))
     none = F.array().cast("array<string>")
-    return F.filter(bound(F.lower(_column(c)), lambda text: unless(some, found(text), none)), lambda t: t.isNotNull())
+    return F.filter(bound(_lower(c, low), lambda text: unless(some, found(text), none)), lambda t: t.isNotNull())
 
 
 def window_terms(c: Column | str, term: str, *, window: int = 5, stopwords: Iterable[str] | None = None) -> Column:

@@ -577,7 +577,8 @@ PROCESSED = f"""first AS (SELECT min(doc_id) AS post_id, text FROM documents WHE
 SELECT count(*) AS n_posts, round(avg(CAST(has_term AS INTEGER)), 6) AS substance_rate, round(avg(CAST(has_signal AS INTEGER)), 6) AS distress_rate, count(*) FILTER (pii) AS n_with_pii,
   count(*) FILTER (len(t) = 0) AS n_empty, round(avg(len(t)), 6) AS mean_length FROM f""")
 def quality_report(spark, d):
-    return risk_plan.quality_report(risk_plan.preprocess(table(spark, d, "documents"), text="text", id_col="doc_id", lexicon=LEXICON, signals=SIGNALS))
+    docs = table(spark, d, "documents").withColumn("text_hash", risk_plan.text_hash("text"))
+    return risk_plan.quality_report(risk_plan.preprocess(docs, text="text", id_col="doc_id", lexicon=LEXICON, signals=SIGNALS, carry=["text_hash"], dedup=False), key="text_hash")
 
 
 @query("ordered_turns", "SELECT conv_id, count(*) AS n_turns, md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
