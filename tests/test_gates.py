@@ -127,3 +127,16 @@ def test_digits_tell_of_phones_and_zips(spark):
     got = df.select("t", X.scrub("t").alias("s"), plain.alias("p")).collect()
     assert [r["s"] for r in got] == [r["p"] for r in got]
     assert all(sum(mark in r["s"] for r in got) > 20 for mark in ("[EMAIL]", "[PHONE]", "[ZIP]"))
+
+
+def test_rule_pipeline_drops_copies_without_moving_texts(spark):
+    assert "Join" not in catalog.QUERIES["rule_pipeline_domain"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    some = texts(60)
+    rows = [*((500 - i, t) for i, t in enumerate(some)), *((600 + i, t) for i, t in enumerate(some[::2] * 3)), (1, some[4]), (900, None)]
+    df = spark.createDataFrame(rows, "i long, t string").repartition(5)
+    columns = ["post_id", "substance_score", "distress_score", "behavior_score", "combined_score", "risk_level", "routing"]
+    want = risk.rule_verdicts(risk.preprocess(df, text="t", id_col="i")).select(*columns)
+    every = risk.rule_verdicts(risk.preprocess(df.withColumn("h", risk.text_hash("t")), text="t", id_col="i", carry=["h"], dedup=False))
+    got = risk.one_a_text(every.select("h", *columns), "h")
+    assert got.columns == columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r["post_id"] for r in got.collect()} >= {1} and got.count() == len(set(some))

@@ -535,8 +535,10 @@ def distress_score(spark, d):
 @query("rule_pipeline_domain")
 def rule_pipeline_domain(spark, d):
     """The whole rule pipeline with the default vocabulary; tests hold it against a plain version."""
-    done = risk_plan.rule_verdicts(risk_plan.preprocess(table(spark, d, "documents"), text="text", id_col="doc_id"))
-    return done.select("post_id", "substance_score", "distress_score", "behavior_score", "combined_score", "risk_level", "routing")
+    docs = table(spark, d, "documents").withColumn("text_hash", risk_plan.text_hash("text"))
+    done = risk_plan.rule_verdicts(risk_plan.preprocess(docs, text="text", id_col="doc_id", carry=["text_hash"], dedup=False))
+    scores = ("substance_score", "distress_score", "behavior_score", "combined_score", "risk_level", "routing")
+    return risk_plan.one_a_text(done.select("text_hash", "post_id", *scores), "text_hash")
 
 
 SPACES = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"

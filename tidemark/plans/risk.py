@@ -29,6 +29,13 @@ def distinct_posts(posts: DataFrame, *, text: str, id_col: str) -> DataFrame:
     return rows.join(first, "__h", "left").where(F.col("__i").isNull() | (F.col(id_col) == F.col("__i"))).drop("__h", "__i")
 
 
+def one_a_text(found: DataFrame, key: str, *, id_col: str = "post_id") -> DataFrame:
+    """The row of the smallest id for each text_hash() in key, which is dropped, where all other columns follow from the
+    text. Only these columns are shuffled, whereas distinct_posts() shuffles the texts."""
+    rest = [c for c in found.columns if c not in (key, id_col)]
+    return found.groupBy(key).agg(F.min(id_col).alias(id_col), *[F.first(c).alias(c) for c in rest]).select(*[c for c in found.columns if c != key])
+
+
 def preprocess(posts: DataFrame, *, text: str, id_col: str, time: str | None = None, lexicon: Mapping[str, str] | None = None, signals: Mapping[str, Iterable[str]] | None = None, unescape: bool = True, carry: Iterable[str] = (), dedup: bool = True) -> DataFrame:
     """Cleaned, scrubbed and normalised posts with what was found in them, one row of each distinct raw text.
 
